@@ -23,11 +23,11 @@ kept, one document each, ordered by their packed bytes.  No rows: no file, no ro
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,13 +80,13 @@ def _tokenise(path: str, end_id: int, n_vocab: int):
     """Texts -> packed ids, and at the end of a task its histogram of ids."""
     schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
 
-    def packed(body: bytes) -> tuple[int, bytes]:
+    def packed(body: bytes, pack) -> tuple[int, bytes]:
         ids = np.frombuffer(body, "<u4")
-        return len(ids), zlib.compress((ids.astype("<u2") if n_vocab <= 1 << 16 else ids).tobytes(), 1)
+        return len(ids), pack((ids.astype("<u2") if n_vocab <= 1 << 16 else ids).tobytes())
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = T.encoder(path).encode, struct.pack("<I", end_id)
-        seen = np.zeros(n_vocab, np.int64)
+        seen, pack = np.zeros(n_vocab, np.int64), zstandard.ZstdCompressor(level=1).compress
 
         def rows():
             nonlocal seen
@@ -97,7 +97,7 @@ def _tokenise(path: str, end_id: int, n_vocab: int):
                 if len(uncounted) > 1 << 22:
                     seen += np.bincount(np.frombuffer(bytes(uncounted), "<u4"), minlength=n_vocab)
                     uncounted.clear()
-                yield (_NULL if key is None else key, *packed(body))
+                yield (_NULL if key is None else key, *packed(body, pack))
             seen += np.bincount(np.frombuffer(bytes(uncounted), "<u4"), minlength=n_vocab)
             used = np.flatnonzero(seen)
             if len(used):  # a row with n = -1 is the histogram of a task
@@ -109,7 +109,7 @@ def _tokenise(path: str, end_id: int, n_vocab: int):
 
 
 def _unpack(body: bytes, n_vocab: int) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(body), "<u2" if n_vocab <= 1 << 16 else "<u4").astype(np.uint32)
+    return np.frombuffer(zstandard.decompress(body), "<u2" if n_vocab <= 1 << 16 else "<u4").astype(np.uint32)
 
 
 def _write(folder: str, rank_of: bytes, n_vocab: int):

@@ -17,8 +17,10 @@ from functools import lru_cache
 _SPACE = r"\t-\r \x85\xa0"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 _UNSURE = re.compile("[^\x00-ɏ‐-‧]")
-#: Pre-tokens in each of the memo's two generations.
-MEMO = 200_000
+#: Space and newline, and letters and marks: texts of these alone may be cut at spaces.
+_PLAIN = re.compile("[^\n -~¡-ɏ‐-‧]")
+#: Pre-tokens, and likewise words, in each of a memo's two generations.
+MEMO = 400_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -29,23 +31,22 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Pre-token -> bytes of its ids.  What the last generation held is taken
-    over when met again, so frequent pre-tokens outlive a change of generation."""
+    """Key -> bytes, made by ``make`` when missing.  What the last generation held
+    is taken over when met again, so frequent keys outlive a change of generation."""
 
-    def __init__(self, model):
+    def __init__(self, make):
         super().__init__()
-        self.model, self.letters, self.old = model, _byte_letters(), {}
+        self.make, self.old = make, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            letters = word.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
         if len(self) >= MEMO:
             self.old = dict(self)
             self.clear()
-        self[word] = ids
-        return ids
+        self[key] = found
+        return found
 
 
 class Encoder:
@@ -58,18 +59,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.find = regex.compile(PATTERN).findall
-        self.memo = _Memo(self.tokenizer.model).__getitem__
+        model, letters = self.tokenizer.model, _byte_letters()
+
+        def piece(found: str) -> bytes:
+            plain = found.encode().decode("latin-1").translate(letters)
+            return array("I", [t.id for t in model.tokenize(plain)]).tobytes()
+
+        def word(found: str) -> bytes:
+            if found.isalpha():
+                return piece(" " + found)
+            if found[:-1].isalpha():  # what ends a word and is no letter is a pre-token
+                return self.words(found[:-1]) + self.pieces(found[-1])
+            return self.cut(" " + found)
+
+        self.pieces = _Memo(piece).__getitem__
+        self.words = _Memo(word).__getitem__
+        self.newline = piece("\n")
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces, self.find(text)))
+
     def encode(self, text: str | None) -> bytes:
         """The ids of one text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _UNSURE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.memo, self.find(text)))
+        if _PLAIN.search(text):
+            return self.whole(text) if _UNSURE.search(text) else self.cut(text)
+        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1] in " \n":
+            return self.cut(text)
+        # Every newline is a pre-token and every space starts one: words are cut alike anywhere.
+        out = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(self.cut(first) + b"".join(map(self.words, rest)))
+        return self.newline.join(out)
 
 
 @lru_cache(maxsize=2)
