@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one output batch; bounds a Python worker's memory.
 OUT_ROWS = 2048
+#: Rows of one input batch.
+IN_ROWS = 512
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -88,9 +90,17 @@ def put_file(uri: str, blocks: Iterable[bytes]) -> int:
 
 def columns(df: DataFrame, **types: str) -> DataFrame:
     """Just the named columns, cast; the rest may clash with what is added."""
+    small_batches(df.sparkSession)
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python of ``IN_ROWS`` rows at most: long texts stay few at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > IN_ROWS:
+        spark.conf.set(name, str(IN_ROWS))
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = OUT_ROWS, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most ``size`` rows and about ``most`` bytes of binary."""
     held: list[tuple] = []

@@ -9,10 +9,15 @@ probability (1 - (1 - s^rows)^half)^2: 0.9996 at 0.8 and 0.99998 at 0.85 for the
 defaults, more for a group, which many pairs link.
 
 No bucket is gathered and none gives all its pairs.  A bucket is joined to its
-pivot, the member that meets most others; each node is verified against its best
-pivot, then against the pivots of buckets that still span components.  What then
-still spans components in a bucket is paired across components alone, where two
-or more tables agree.  Links are confirmed on the full sets of actual shingles.
+pivot, the member that meets most others, and every member's distance to its
+pivots is measured on the full sets of actual shingles; that confirms links and
+makes components.  In a bucket that still spans components, members whose
+distances to the pivot differ by more than a link's can't be linked (Jaccard
+distance is a metric): members are put in overlapping cells by distance, cells of
+one component are done with, and so are members with fewer than ``TABLES`` open
+tables, as a linked pair meets in that many but for one in 10,000 at the limit.
+What is left meets by half-key, in blocks of bounded size, where all intersections
+are counted by one matrix product; pairs that reach the limit are confirmed.
 Components come from alternating large and small stars.  All is joins and
 aggregates over ids, cut by written tables; a hot key is split by the optimiser.
 
@@ -37,8 +42,8 @@ from . import _shared as S
 WIDTH, PERCENT = 2, 80
 #: Half-keys of a collection, and minhashes of a half-key.
 HALF, ROWS = 12, 3
-#: Edges up to which their ends are broadcast (16 bytes each) to thin the texts.
-SMALL = 100_000
+#: Open tables of a member that may still be linked; members of a block.
+TABLES, GROUP = 3, 1024
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,7 +123,7 @@ def shingle_set(text: str | None, width: int) -> set:
 
 
 def _confirm(width: int, percent: int):
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("distance", pa.float64()), ("link", pa.bool_())])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links():
@@ -128,8 +133,8 @@ def _confirm(width: int, percent: int):
                     last, b = text_v, shingle_set(text_v, width)
                 a = shingle_set(text_u, width)
                 both = len(a & b)
-                if a and 100 * both >= percent * (len(a) + len(b) - both):
-                    yield u, v
+                either = max(1, len(a) + len(b) - both)
+                yield u, v, 1 - both / either, bool(a) and 100 * both >= percent * either
 
         yield from S.batches(links(), schema)
 
@@ -139,9 +144,8 @@ def _confirm(width: int, percent: int):
 class Linker:
     """Verifies edges and keeps components, in written tables of one folder."""
 
-    def __init__(self, texts: DataFrame, folder: str, width: int, percent: int):
-        self.texts, self.folder, self.width, self.percent = texts, folder, width, percent
-        self.spark, self.step = texts.sparkSession, 0
+    def __init__(self, folder: str, width: int, percent: int):
+        self.folder, self.width, self.percent, self.step = folder, width, percent, 0
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -149,22 +153,19 @@ class Linker:
         self.step += 1
         return S.saved(df, f"{self.folder}/{self.step:03d}-{name}")
 
-    def confirm(self, edges: DataFrame) -> bool:
-        """Adds the edges (u, v) that are links; whether there were any edges."""
-        n = edges.count()
-        if not n:
-            return False
-        texts = self.texts
-        if n <= SMALL:
-            ends = edges.select(F.col("u").alias("doc_id")).union(edges.select(F.col("v").alias("doc_id"))).distinct()
-            texts = texts.join(F.broadcast(ends), "doc_id", "left_semi")
+    def confirm(self, edges: DataFrame, texts: DataFrame) -> DataFrame:
+        """Measures the edges (u, v) and adds those that are links.
+
+        Returns u, v, distance, link.  Texts are dealt out by id, to both ends by
+        the same exchange; edges come to their ends by merge, whatever their number."""
         left = edges.join(texts.hint("merge"), edges.u == texts.doc_id).select("u", "v", F.col("text").alias("text_u"))
         right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
         both = left.join(right.hint("merge"), "v").select("u", "v", "text_u", "text_v")
-        found = self.save(both.mapInArrow(_confirm(self.width, self.percent), "u long, v long"), "links")
-        self.links = found if self.links is None else self.links.unionByName(found)
+        found = self.save(both.mapInArrow(_confirm(self.width, self.percent), "u long, v long, distance double, link boolean"), "measured")
+        links = found.filter("link").select("u", "v")
+        self.links = links if self.links is None else self.links.unionByName(links)
         self.labels = self.components(self.links)
-        return True
+        return found
 
     def components(self, links: DataFrame) -> DataFrame:
         """(node, label): every linked node's smallest reachable node."""
@@ -193,6 +194,118 @@ class Linker:
         return df.join(found, F.col(node) == F.col("_node"), "left").withColumn(label, F.coalesce("_label", node)).drop("_node", "_label")
 
 
+def across(members: DataFrame, measured: DataFrame, linker: Linker, percent: int) -> DataFrame:
+    """Members (node, label) that may have links to other components.
+
+    ``members``: key, node, n, pivot, pn; ``measured``: their distances.  A member
+    whose size rules a link with the pivot out has a distance from 1 - the sizes'
+    ratio to 1, and so more cells."""
+    step = 1 - percent / 100 + 1e-9
+    known = measured.select(F.col("u").alias("node"), F.col("v").alias("pivot"), "distance")
+    spread = linker.labelled(members, "node", "label")
+    open_ = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    held = spread.join(open_.hint("merge"), "key", "left_semi").join(known.hint("merge"), ["node", "pivot"], "left")
+    least = F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.coalesce("distance", 1 - F.least("n", "pn") / F.greatest("n", "pn")))
+    most = F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0)))
+    cells = held.select("key", "node", "n", "label", F.floor(least / step).cast("int").alias("first"), (F.floor(most / step) + 1).cast("int").alias("last"))
+    cells = linker.save(cells, "cells").withColumn("cell", F.explode(F.sequence("first", "last")))
+    for _ in range(2):  # a cell of one component is done with; then so are members of few tables
+        mixed = cells.groupBy("key", "cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "cell")
+        cells = cells.join(mixed.hint("merge"), ["key", "cell"], "left_semi")
+        enough = cells.select("node", "key").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("tables")).filter(F.col("tables") >= TABLES).select("node")
+        cells = linker.save(cells.join(enough.hint("merge"), "node", "left_semi"), "cells")
+    return cells.select("node", "label").distinct()
+
+
+def _block_pairs(half: int, percent: int):
+    """Groups of one half-key, at most two blocks of members -> pairs that may be links.
+
+    Shingles are 32-bit hashes here, whose chance meetings only add pairs.  A pair is
+    told in the group of the first half-key that it shares, if it shares one of the
+    other collection too: so once, and only if some table has it."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def pairs(members: list[tuple], i: int) -> Iterator[tuple[int, int]]:
+        node, label = (np.array([m[k] for m in members], np.int64) for k in (0, 1))
+        side = np.array([m[2] for m in members])
+        keys = np.stack([np.frombuffer(m[3], np.uint32) for m in members])
+        sets = [np.frombuffer(m[4], np.uint32) for m in members]
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        often = np.flatnonzero(times > 1)  # a shingle of one member meets no other
+        column = np.full(len(values), -1)
+        column[often] = np.arange(len(often))
+        place = column[place]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, len(often), 4096):
+            some = (place >= at) & (place < at + 4096)
+            cells = np.zeros((len(sets), min(4096, len(often) - at)), np.float32)
+            cells[owner[some], place[some] - at] = 1
+            both += cells @ cells.T
+        either = size[:, None] + size[None, :] - both
+        # Members of a lone block (side -1), or one of either block, of different components.
+        x, y = np.nonzero(np.triu((100 * both >= (percent - 1) * either) & (label[:, None] != label[None, :]) & ((side[:, None] < 0) | (side[:, None] != side[None, :])), 1))
+        same = keys[x] == keys[y]
+        first = same[:, :half].argmax(1)
+        told = same[:, :half].any(1) & (first == i) & same[:, half:].any(1)
+        for u, v in zip(node[x[told]].tolist(), node[y[told]].tolist()):
+            yield min(u, v), max(u, v)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            at, held = None, []
+            for key, low, high, i, *member in S.rows_of(found):
+                if (key, low, high, i) != at:
+                    if len(held) > 1:
+                        yield from pairs(held, at[3])
+                    at, held = (key, low, high, i), []
+                held.append(member)
+            if len(held) > 1:
+                yield from pairs(held, at[3])
+
+        yield from S.batches(each(), schema)
+
+    return run
+
+
+def _sets(width: int, half: int, rows: int):
+    schema = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("short", pa.binary()), ("members", pa.binary())])
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(width, half, rows)
+
+        def each():
+            for node, text in S.rows_of(found):
+                x = signer.shingles(text)
+                keys = signer.half_keys(x)
+                yield node, keys[:half].tolist(), (keys & 0xFFFFFFFF).astype(np.uint32).tobytes(), np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+        yield from S.batches(each(), schema)
+
+    return run
+
+
+def in_blocks(open_: DataFrame, texts: DataFrame, linker: Linker, half: int, rows: int) -> DataFrame:
+    """Pairs (u, v) of open members (node, label) that share a table and may be links.
+
+    Members meet by the half-keys of one collection, in blocks of ``GROUP`` at most:
+    a larger group's blocks are dealt out two by two.  Tasks hold two blocks."""
+    named = open_.select(F.col("node").alias("_node"))
+    own = texts.join(named.hint("merge"), texts.doc_id == named["_node"], "left_semi").select("doc_id", "text")
+    sets = linker.save(own.mapInArrow(_sets(linker.width, half, rows), "node long, keys array<long>, short binary, members binary"), "sets")
+    places = sets.join(open_.hint("merge"), "node").select("node", "label", F.posexplode("keys").alias("i", "x")).select("node", "label", "i", F.xxhash64("i", "x").alias("key"))
+    mixed = places.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks"))
+    held = places.join(mixed.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    # A group of one block is a pair (0, 0) of side -1; else block b goes to all pairs (b, other).
+    held = held.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    held = held.select("node", "label", "key", "i", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.when(F.col("block") < F.col("other"), 0).otherwise(1)).alias("side"))
+    n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.join(sets.select("node", "short", "members").hint("merge"), "node").repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high", "i", "node")
+    found = dealt.select("key", "low", "high", "i", "node", "label", "side", "short", "members").mapInArrow(_block_pairs(half, linker.percent), "u long, v long")
+    return found.distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, half: int = HALF, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     spark = docs.sparkSession
@@ -201,35 +314,31 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     run, schema = _sign(width, half, rows)
     signed = S.saved(held.mapInArrow(run, schema), f"{folder}/signed")
     named = signed.filter("n > 0 and doc_id is not null")
-    # Equal sets are one node, named by its smallest id; partial minima make a hot set harmless.
-    nodes = S.saved(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), f"{folder}/nodes")
+    # Equal sets are one node, named by its smallest id; tasks aggregate a hot set before it is dealt out.
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = S.saved(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")).repartition(n_parts, "node"), f"{folder}/nodes")
     keys = nodes.select("node", "n", F.posexplode("a").alias("i", "x"), "b").select("node", "n", "i", "x", F.posexplode("b").alias("j", "y")).select(F.xxhash64("i", "x", "j", "y").alias("key"), "node", F.col("n").cast("int").alias("n"))
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    shared = S.saved(keys.join(met, "key").select("key", "node", "n", "m"), f"{folder}/shared")
+    shared = S.saved(keys.join(met.hint("merge"), "key").select("key", "node", "n", "m"), f"{folder}/shared")
     degree = shared.groupBy("node").agg(F.sum("m").alias("degree"))
-    pivots = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), F.col("n"))).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.degree").alias("pd"))
-    near = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.col("node") != F.col("pivot"))
-    stars = S.saved(shared.join(pivots, "key").filter(near).groupBy("node", "pivot").agg(F.max("pd").alias("pd"), F.count(F.lit(1)).alias("tables")), f"{folder}/stars")
-    ends = stars.select("node").union(stars.select(F.col("pivot").alias("node"))).distinct()
-    texts = S.saved(held.join(ends, held.doc_id == ends.node, "left_semi"), f"{folder}/texts")
-    linker = Linker(texts, folder, width, percent)
-    linker.confirm(stars.groupBy(F.col("node").alias("u")).agg(F.max_by("pivot", F.struct("pd", "tables", -F.col("pivot"))).alias("v")).select("u", "v"))
-    rest = linker.labelled(linker.labelled(stars, "node", "lu"), "pivot", "lv").filter("lu <> lv")
-    linker.confirm(linker.save(rest.select(F.col("node").alias("u"), F.col("pivot").alias("v")), "rest"))
-    # Buckets that still span components: pairs across them that two tables or more agree on.
-    spread = linker.labelled(shared.select("key", "node", "n"), "node", "label")
-    split = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    open_ = linker.save(spread.join(split, "key", "left_semi"), "open")
-    other = open_.select("key", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("label").alias("lv"))
-    pairs = open_.join(other, "key").filter((F.col("node") < F.col("v")) & (F.col("label") != F.col("lv")) & (F.least("n", "vn") * 100 >= F.greatest("n", "vn") * percent)).groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("tables")).filter("tables > 1")
-    tried = stars.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
-    pairs = linker.save(pairs.join(tried, ["u", "v"], "left_anti").select("u", "v"), "pairs")
-    missing = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct().join(texts, "doc_id", "left_anti")
-    if missing.limit(1).count():
-        linker.texts = held.join(pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct(), "doc_id", "left_semi")
-    linker.confirm(pairs)
+    best = shared.join(degree.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), F.col("n"))).alias("p"))
+    pivots = best.select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn"))
+    members = S.saved(shared.join(pivots.hint("merge"), "key").select("key", "node", "n", "pivot", "pn"), f"{folder}/members")
+    S.drop(spark, f"{folder}/shared")
+    alike = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
+    stars = members.filter(alike & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    ends = members.select("node").distinct()
+    texts = S.saved(held.join(ends.hint("merge"), held.doc_id == ends.node, "left_semi"), f"{folder}/texts")
+    linker = Linker(folder, width, percent)
+    stars = linker.save(stars, "stars")
+    measured = linker.confirm(stars, texts)
+    open_ = linker.save(across(members, measured, linker, percent), "open")
+    pairs = linker.save(in_blocks(open_, texts, linker, half, rows), "pairs")
+    if pairs.limit(1).count():
+        ends = pairs.select(F.col("u").alias("end")).union(pairs.select(F.col("v").alias("end"))).distinct()
+        linker.confirm(pairs, texts.join(ends.hint("merge"), texts.doc_id == ends.end, "left_semi"))
     labels = S.saved(linker.labelled(nodes.select("digest", "node"), "node", "component_id").select("digest", "component_id"), f"{folder}/labels")
-    for name in ("shared", "stars", "texts", "nodes"):
+    for name in ("members", "texts", "nodes"):
         S.drop(spark, f"{folder}/{name}")
     out = signed.select("doc_id", "n", "digest").join(labels, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

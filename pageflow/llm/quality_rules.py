@@ -192,6 +192,7 @@ def keep_where(docs: DataFrame, test: Callable[[], Callable[[list], list]], text
 
     ``test()`` is called once a task and gives a function from texts to booleans."""
     at = docs.columns.index(text)
+    S.small_batches(docs.sparkSession)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = test()
