@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geom, ids, text
-from ..operators import matching, pages, pixels, review
+from ..operators import assembly, matching, pages, pixels, review
 from . import adapters as A
 
 #: Cap that the test tables exercise (pages have at most a dozen tokens).
@@ -332,6 +332,64 @@ def brightness_histogram(spark, sf):
     return pixels.histogram(A.pixels(spark, sf))
 
 
+@query(f"""WITH c AS ({A.CARDS}), p AS (SELECT doc_id, page_id, token_index, (doc_id % 10) / 10.0 AS bp, (doc_id % 7) / 7.0 AS bt, CASE WHEN doc_id % 3 = 0 THEN '' ELSE word END AS cap, doc_id % 9000 AS area FROM c),
+  r AS (SELECT *, concat_ws('|', CASE WHEN bp > 0.7 THEN 'BLANK_PICTURE' END, CASE WHEN bt > 0.7 THEN 'BLANK_TEXT' END, CASE WHEN cap = '' THEN 'OCR_EMPTY' END, CASE WHEN area < 5000 THEN 'SMALL_ITEM' END) AS reasons,
+    CAST(bp > 0.7 AS INT) + CAST(bt > 0.7 AS INT) + CAST(cap = '' AS INT) + CAST(area < 5000 AS INT) AS n FROM p)
+  SELECT page_id, CAST(doc_id AS BIGINT) AS item_index, cap AS caption_text, reasons, n > 0 AS needs_review, CASE WHEN n > 0 THEN 'review' ELSE 'active' END AS status,
+    CAST(round(greatest(0.0, least(1.0, 1 - (CASE WHEN bp > 0.5 THEN 0.2 ELSE 0 END + CASE WHEN bt > 0.5 THEN 0.2 ELSE 0 END + CASE WHEN cap = '' THEN 0.3 ELSE 0 END + 0.1 * n))), 6) AS DOUBLE) AS confidence FROM r""")
+def grid_pair_assembly(spark, sf):
+    d = F.col("doc_id")
+    t = A.cards(spark, sf).select("page_id", d.alias("item_index"), (d % 10 / 10.0).alias("blank_picture"), (d % 7 / 7.0).alias("blank_text"), F.when(d % 3 == 0, "").otherwise(F.col("word")).alias("caption"), (d % 9000).alias("item_area"))
+    return assembly.grid_pairs(t).withColumn("reasons", F.array_join("reasons", "|"))
+
+
+@query(f"""{_BOXES}, j AS (SELECT p.page_id, CAST(p.ord AS BIGINT) AS order_index, p.x0, p.y0, p.x1, p.y1, p.confidence, CASE WHEN p.ord % 5 = 0 THEN '' ELSE t.text END AS text FROM pic p LEFT JOIN txt t ON t.page_id = p.page_id AND t.ord = p.ord + 1),
+  r AS (SELECT *, text IS NOT NULL AND trim(text) <> '' AS has_text, CASE WHEN text IS NULL THEN 'NO_TEXT_MATCH' WHEN trim(text) = '' THEN 'OCR_EMPTY' ELSE '' END AS reasons FROM j)
+  SELECT substr(sha1(concat_ws('|', page_id, order_index, concat_ws(',', x0, y0, x1, y1))), 1, 16) AS pair_id, page_id, order_index, coalesce(text, '') AS caption_text, has_text, NOT has_text AS needs_review, reasons,
+    round(confidence * CASE WHEN has_text THEN 1.0 ELSE 0.5 END * CASE WHEN reasons <> '' THEN 0.8 ELSE 1.0 END, 3) AS confidence FROM r""")
+def matched_pair_assembly(spark, sf):
+    p, t = _boxes(spark, sf)
+    t = t.select("page_id", (F.col("ord") - 1).alias("ord"), "text")
+    joined = p.drop("text").join(t, ["page_id", "ord"], "left").select("page_id", F.col("ord").alias("order_index"), "box", "confidence", F.when(F.col("ord") % 5 == 0, "").otherwise(F.col("text")).alias("text"), F.lit(None).cast("string").alias("corrected"))
+    return assembly.matched_pairs(joined).withColumn("reasons", F.array_join("reasons", "|")).withColumn("confidence", F.round("confidence", 3))
+
+
+@query(f"""WITH c AS ({A.CARDS}), s AS (SELECT doc_id, page_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE word END AS word, (doc_id % 100) / 100.0 AS confidence, CASE doc_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'success' WHEN 2 THEN 'success' END AS st, CASE doc_id % 4 WHEN 1 THEN 'segmenter' ELSE 'bbox_fallback_enhanced' END AS me FROM c)
+  SELECT CAST(doc_id AS VARCHAR) AS page_id, word, CASE WHEN st IS NULL OR st = 'failed' THEN 'page_fallback' WHEN me = 'segmenter' THEN 'segmenter' ELSE 'bbox_fallback' END AS method,
+    concat_ws('|', CASE WHEN st = 'failed' THEN 'SEGMENT_FAILED' END, CASE WHEN st IS NULL OR st = 'failed' THEN 'PAGE_FALLBACK' END, CASE WHEN st = 'success' AND me <> 'segmenter' THEN 'BBOX_FALLBACK' END, CASE WHEN word = '' THEN 'WORD_MISSING' END, CASE WHEN confidence < 0.7 THEN 'LOW_CONFIDENCE' END) AS reasons,
+    CASE WHEN st = 'failed' THEN 'SEGMENT_FAILED' WHEN st IS NULL THEN 'PAGE_FALLBACK' WHEN me <> 'segmenter' THEN 'BBOX_FALLBACK' WHEN confidence < 0.7 THEN 'LOW_CONFIDENCE' END AS review_reason FROM s""")
+def cards_single_word(spark, sf):
+    d = F.col("doc_id")
+    kind = d % 4
+    t = A.cards(spark, sf).select(d.cast("string").alias("page_id"), F.when(d % 9 == 0, "").otherwise(F.col("word")).alias("word"), (d % 100 / 100.0).alias("confidence"), F.when(kind == 0, "failed").when(kind < 3, "success").alias("segment_status"), F.when(kind == 1, "segmenter").otherwise("bbox_fallback_enhanced").alias("segment_method"))
+    return assembly.single_word_cards(t).drop("needs_review").withColumn("reasons", F.array_join("reasons", "|"))
+
+
+_ASPECT = "CAST(x1 - x0 AS DOUBLE) / greatest(1, y1 - y0)"
+_SHARE = "CAST((x1 - x0) * (y1 - y0) AS DOUBLE) / 1680000"
+
+
+@query(f"""{_TOK} SELECT page_id, ord, CASE WHEN {_SHARE} > 0.0018 AND {_ASPECT} > 0.5 AND {_ASPECT} < 2 THEN 'picture' ELSE 'text' END AS kind,
+  {_SHARE} BETWEEN 0.001 AND 0.5 AND {_ASPECT} BETWEEN 0.3 AND 3 AS first, {_SHARE} BETWEEN 0.003 AND 0.15 AND {_ASPECT} BETWEEN 0.4 AND 2.5 AS picture FROM tok""")
+def region_gates(spark, sf):
+    b = F.col("box")
+    return A.tokens(spark, sf).select("page_id", "ord", assembly.region_class(b, WIDTH, HEIGHT).alias("kind"), assembly.region_kept(b, WIDTH, HEIGHT, "first").alias("first"), assembly.region_kept(b, WIDTH, HEIGHT, "picture").alias("picture"))
+
+
+@query(f"""{_TOK} SELECT page_id, ord, CAST(floor((y0 + y1) // 2 / 50) AS BIGINT) AS row, (x0 + x1) // 2 AS col FROM tok""")
+def canonical_order(spark, sf):
+    key = geom.canonical_key(F.col("box"))
+    return A.tokens(spark, sf).select("page_id", "ord", key["row"].alias("row"), key["col"].alias("col"))
+
+
+@query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS said, count(*) AS turns, arg_min(text, turn) FILTER (trim(text) <> '') AS first_said FROM conversations GROUP BY conv_id""")
+def ordered_concat(spark, sf):
+    A.views(spark, sf)
+    c = spark.table("conversations")
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("said"), F.count(F.lit(1)).alias("turns"), F.min_by("text", F.when(F.trim("text") != "", F.col("turn"))).alias("first_said"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 
