@@ -23,6 +23,7 @@ kept, one document each, ordered by their packed bytes.  No rows: no file, no ro
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,13 +55,23 @@ LENGTHS, TOTALS = _length_tables()
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit numbers."""
     r = np.ascontiguousarray(ranks, "<u4")
-    more = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    padded = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    padded[: len(r)] = more
+    n = len(r)
+    padded = np.zeros(-(-n // 4) * 4, np.uint8)
+    more = padded[:n]  # bytes beyond the first; ranks of more are ever fewer
+    places, longer = np.arange(n), []
+    for k in (1, 2, 3):
+        places = places[r[places] >> np.uint32(8 * k) > 0] if k > 1 else np.flatnonzero(r > 0xFF)
+        more[places] = k
+        longer.append(places)
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    used = np.arange(4, dtype=np.uint8) <= more[:, None]
-    return control.tobytes(), r.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    ends = np.cumsum(more, dtype=np.int64) + np.arange(1, n + 1)
+    data = np.empty(int(ends[-1]) if n else 0, np.uint8)
+    at = ends - more - 1
+    data[at] = r.view(np.uint8)[::4]
+    for k, places in enumerate(longer, 1):
+        data[at[places] + k] = r[places] >> np.uint32(8 * k) & np.uint32(0xFF)
+    return control.tobytes(), data.tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -108,8 +119,8 @@ def _tokenise(path: str, end_id: int, n_vocab: int):
     return run, "key long, n int, body binary"
 
 
-def _unpack(body: bytes, n_vocab: int) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(body), "<u2" if n_vocab <= 1 << 16 else "<u4").astype(np.uint32)
+def _unpack(body: bytes, n_vocab: int, unpack) -> np.ndarray:
+    return np.frombuffer(unpack(body), "<u2" if n_vocab <= 1 << 16 else "<u4").astype(np.uint32)
 
 
 def _write(folder: str, rank_of: bytes, n_vocab: int):
@@ -120,7 +131,7 @@ def _write(folder: str, rank_of: bytes, n_vocab: int):
         from pyspark import TaskContext
 
         ranks, part = np.frombuffer(rank_of, "<u4"), TaskContext.get().partitionId()
-        total = [0, 0, None]
+        total, unpack = [0, 0, None], zstandard.ZstdDecompressor().decompress
 
         def block(keys: list[int], held: list[np.ndarray]) -> bytes:
             ids = np.concatenate(held)
@@ -134,7 +145,7 @@ def _write(folder: str, rank_of: bytes, n_vocab: int):
             yield MAGIC
             keys, held, n = [], [], 0
             for key, body in S.rows_of(found):
-                ids = _unpack(body, n_vocab)
+                ids = _unpack(body, n_vocab, unpack)
                 if held and n + len(ids) > BLOCK_IDS:
                     yield block(keys, held)
                     keys, held, n = [], [], 0
@@ -219,24 +230,27 @@ def read_file(file: str) -> Iterator[tuple[int, int, np.ndarray]]:
             at += n_ids
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
+def read_tokens(manifest: DataFrame, digest: bool = False) -> DataFrame:
     """Documents of the files: key, start (ids of all documents before it),
-    n_tokens, ids (little-endian unsigned 32-bit).  One task reads a file."""
-    schema = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    n_tokens, ids (little-endian unsigned 32-bit), or for a digest ids_crc32 of
+    the same bytes in their stead.  One task reads a file."""
+    last = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
+    schema = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), last])
+    own = (lambda ids: zlib.crc32(ids)) if digest else (lambda ids: ids.tobytes())
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for file, start in S.rows_of(found):
                 for key, before, ids in read_file(file):
-                    yield None if key == _NULL else key, start + before, len(ids), ids.tobytes()
+                    yield None if key == _NULL else key, start + before, len(ids), own(ids)
 
         yield from S.batches(rows(), schema)
 
     n = max(1, manifest.count())
-    return manifest.select("file", "start").repartition(n, "file").mapInArrow(run, "key long, start long, n_tokens long, ids binary")
+    return manifest.select("file", "start").repartition(n, "file").mapInArrow(run, f"key long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: every document's place, length and checksum, from the files."""
     manifest = write_tokens(S.table(spark, sf_dir, "documents"), S.scratch(spark, "op2"), T.default_path(), 2)
-    return read_tokens(manifest).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(manifest, digest=True).withColumnRenamed("key", "doc_id")
