@@ -101,10 +101,15 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder a Python worker and vocabulary; threads stay with Spark."""
+    import gc
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    made = Encoder(path)
+    # Encoding leaves no reference cycles: the collector need not walk the memo so often.
+    gc.freeze()
+    gc.set_threshold(100_000, 50, 50)
+    return made
 
 
 def default_path() -> str:
