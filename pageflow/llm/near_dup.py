@@ -347,8 +347,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """Pipeline stage: one document of each group, with its own columns."""
-    gone = S.saved(near_duplicates(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), S.scratch(docs.sparkSession, "gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = S.saved(near_duplicates(docs, width, percent).filter(~F.col("kept")).select("doc_id").distinct(), S.scratch(docs.sparkSession, "gone"))
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -342,3 +342,21 @@ def test_columns_stay(spark, odd):
         out = stage(spark, docs, odd)
         assert out.columns == docs.columns and out.count() <= docs.count()
     assert docs.filter(F.col("kept") == "clash").count() == docs.count()
+
+
+def test_leaks_go_by_their_own_text(spark, odd):
+    """Null and shared ids, and columns with clashing names: a leak goes, a clean row stays."""
+    item = " ".join(LONG.split()[500:540])
+    rows = [(None, f"{GOOD} {item}", "a"), (None, GOOD, "b"), (7, item, "c"), (7, GOOD, "d"), (8, None, "e"), (9, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _leaked string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontaminate.drop_leaks(docs, benchmark)
+    assert found.columns == docs.columns
+    assert sorted(r._leaked for r in found.collect()) == ["b", "d", "e", "f"]
+
+
+def test_keep_one_bears_clashing_names(spark):
+    docs = spark.createDataFrame([("x", 2, GOOD), ("y", 1, GOOD), ("z", 3, "one two three four five six"), ("n", None, GOOD)], "_gone string, doc_id long, text string")
+    found = near_dup.keep_one(docs)
+    assert found.columns == docs.columns
+    assert sorted(r._gone for r in found.collect()) == ["n", "y", "z"]
