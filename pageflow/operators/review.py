@@ -56,7 +56,7 @@ def csv_rows(cards: DataFrame, include_review: bool = False) -> DataFrame:
     keep = F.col("status") != "rejected"
     keep = keep if include_review else keep & ~F.col("needs_review")
     page, index = F.coalesce("page_id", F.lit("")), F.coalesce("token_index", F.lit(0))
-    return cards.filter(keep).select(F.col("word").alias("front_text"), F.lit("").alias("back_text"), "card_id", page.alias("page"), index.alias("idx"), text.join_reasons(F.col("reasons")).alias("review_reason"))
+    return cards.filter(keep).select(F.col("word").alias("front_text"), F.lit("").alias("back_text"), F.coalesce("front_image_path", F.lit("")).alias("front_image_path"), F.coalesce("source_ref", F.lit("")).alias("source_ref"), "card_id", page.alias("page"), index.alias("idx"), text.join_reasons(F.col("reasons")).alias("review_reason"))
 
 
 def media_names(refs: DataFrame) -> DataFrame:

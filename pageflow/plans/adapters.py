@@ -43,7 +43,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, CARDS).withColumn("reasons", F.array_compact(F.array(F.when(F.col("needs_review"), "LOW_CONFIDENCE"), F.when(F.col("method") == "page_fallback", "PAGE_FALLBACK"))))
+    return table(spark, sf_dir, CARDS).withColumn("source_ref", F.concat(F.lit("doc#"), "doc_id")).withColumn("reasons", F.array_compact(F.array(F.when(F.col("needs_review"), "LOW_CONFIDENCE"), F.when(F.col("method") == "page_fallback", "PAGE_FALLBACK"))))
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,7 +264,7 @@ def learning_stats(spark, sf):
     return review.learning_stats(review.training_records(A.cards(spark, sf), A.feedback(spark, sf)))
 
 
-@query(f"WITH c AS ({A.CARDS}) SELECT word AS front_text, '' AS back_text, card_id, page_id AS page, token_index AS idx, CASE WHEN method = 'page_fallback' THEN 'PAGE_FALLBACK' ELSE '' END AS review_reason FROM c WHERE status <> 'rejected' AND NOT needs_review")
+@query(f"WITH c AS ({A.CARDS}) SELECT word AS front_text, '' AS back_text, front_image_path, concat('doc#', CAST(doc_id AS VARCHAR(20))) AS source_ref, card_id, page_id AS page, token_index AS idx, CASE WHEN method = 'page_fallback' THEN 'PAGE_FALLBACK' ELSE '' END AS review_reason FROM c WHERE status <> 'rejected' AND NOT needs_review")
 def export_csv_rows(spark, sf):
     return review.csv_rows(A.cards(spark, sf))
 
@@ -390,9 +390,15 @@ def ordered_concat(spark, sf):
     return c.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("said"), F.count(F.lit(1)).alias("turns"), F.min_by("text", F.when(F.trim("text") != "", F.col("turn"))).alias("first_said"))
 
 
+def _registered() -> None:
+    from . import job_queries  # noqa: F401  (registers its queries)
+
+
 def queries() -> dict[str, Query]:
+    _registered()
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_SQL)

@@ -20,7 +20,7 @@ TOKEN_PAGE = f"page_id string, raw_count int, clean_count int, deduped_count int
 FEEDBACK = f"card_id string, pair_id string, action string, edited_text string, edited_caption string, corrected_bbox {BOX}, corrected_caption string, preferred_search_direction string"
 CARD = f"card_id string, page_id string, source_page_id string, token_index int, layout_type string, word string, bbox_xyxy {BOX}, method string, front_image_path string, source_ref string, confidence double, needs_review boolean, status string, created_at string, updated_at string, reasons array<string>"
 QUEUE = "card_id string, page_id string, token_index int, text string, review_reason string, suggested_action string"
-JOB_CARD = "card_id string, page_id string, token_index int, word string, box struct<x0:int,y0:int,x1:int,y1:int>, method string, confidence double, needs_review boolean, status string, reasons array<string>, front_image_path string"
+JOB_CARD = "card_id string, page_id string, source_ref string, token_index int, word string, box struct<x0:int,y0:int,x1:int,y1:int>, method string, confidence double, needs_review boolean, status string, reasons array<string>, front_image_path string"
 PAIR = f"pair_id string, page_id string, order_index int, item_index int, picture_bbox {BOX}, text_bbox {BOX}, caption_text string, has_text boolean, needs_review boolean, reasons array<string>, confidence double, status string, picture_path string, text_path string"
 
 
