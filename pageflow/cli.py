@@ -1,4 +1,5 @@
-"""Command line: run, validate, export, apply-review, review-ui, learning-stats."""
+"""Command line: run, validate, export, apply-review, review-ui, learning-stats,
+apply-pair-feedback, build-flashcards, generate-review-html."""
 
 from __future__ import annotations
 
@@ -42,11 +43,26 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--job-dir", required=True)
         for x in extra:
             p.add_argument(x, required=True)
+    for name, extra in (("apply-pair-feedback", ("--feedback",)), ("build-flashcards", ()), ("generate-review-html", ())):
+        p = commands.add_parser(name)
+        for x in ("--pairs", "--out", *extra):
+            p.add_argument(x, required=True)
     a = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "run":
         sinks.write_job(*job(spark, a.tokens, a.width, a.height, a.source, a.min_confidence), a.job_dir)
         return 0
+    if "pairs" in a:
+        pairs = sources.read_pairs(spark, a.pairs)
+        if a.command == "apply-pair-feedback":
+            done = review.apply_pair_feedback(pairs.withColumnRenamed("caption_text", "caption"), sources.read_feedback(spark, a.feedback)).withColumnRenamed("caption", "caption_text")
+            sinks.write_pairs(pairs.drop("caption_text", "status", "reasons").join(done, "pair_id"), a.out)
+        elif a.command == "build-flashcards":
+            kept = pairs.filter(F.coalesce(F.col("status") != "rejected", F.lit(True)))
+            pages.reverse_cards(kept.withColumnRenamed("caption_text", "caption")).write.mode("overwrite").json(a.out)
+        else:
+            print(sinks.pair_review_page(pairs.withColumn("image", F.lit("")), a.out))
+        return 0
     cards = _cards(spark, a.job_dir)
     if a.command == "validate":
         broken = review.card_violations(cards).groupBy("rule").count().orderBy("rule").collect()

@@ -12,7 +12,7 @@ import zipfile
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text
@@ -92,6 +92,59 @@ def review_page(queue: DataFrame, path: str) -> None:
         f.write(f'<!DOCTYPE html><meta charset="utf-8"><title>Review</title><ol id="list"></ol><script>const items={body};for(const x of items){{const li=document.createElement("li");li.textContent=`${{x.page_id}}: ${{x.text}} (${{x.review_reason}})`;document.getElementById("list").append(li)}}</script>')
 
 
+#: Image types by ending (fixed values).
+MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp"}
+
+
+def data_url(path: Column, content: Column) -> Column:
+    """An image's data URL; a missing one is empty."""
+    kinds = F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair))
+    ending = F.lower(F.element_at(F.split(path, r"\."), -1))
+    return F.when(content.isNull(), "").otherwise(F.concat(F.lit("data:"), F.coalesce(kinds[ending], F.lit("image/png")), F.lit(";base64,"), F.base64(content)))
+
+
+_PAIR_PAGE = """<!DOCTYPE html><meta charset="utf-8"><title>Pairs</title><p id="stats"></p>
+<p><button data-f="all">all</button><button data-f="review">review</button><button data-f="edited">edited</button><button data-f="excluded">excluded</button><button id="save">export</button></p><ol id="list"></ol>
+<script>const pairs=@@PAIRS@@,state=new Map();let shown="all";
+const of=p=>state.get(p.pair_id)||{};const put=(p,x)=>{state.set(p.pair_id,{...of(p),...x});draw()};
+const tests={all:p=>true,review:p=>p.needs_review,edited:p=>of(p).caption!==undefined,excluded:p=>!!of(p).excluded};
+function draw(){document.getElementById("stats").textContent=Object.keys(tests).map(k=>`${k}: ${pairs.filter(tests[k]).length}`).join(", ");
+const list=document.getElementById("list");list.replaceChildren();for(const p of pairs.filter(tests[shown])){const li=document.createElement("li"),text=document.createElement("input"),out=document.createElement("input");
+if(p.image){const img=document.createElement("img");img.src=p.image;img.height=120;li.append(img)}
+text.value=of(p).caption??p.caption_text??"";text.onchange=()=>put(p,{caption:text.value});out.type="checkbox";out.checked=!!of(p).excluded;out.onchange=()=>put(p,{excluded:out.checked});
+li.append(text,out,` exclude (${p.page_id}, ${p.badge})`);list.append(li)}}
+document.querySelectorAll("[data-f]").forEach(b=>b.onclick=()=>{shown=b.dataset.f;draw()});
+document.getElementById("save").onclick=()=>{const items=pairs.filter(p=>state.has(p.pair_id)).map(p=>({pair_id:p.pair_id,action:of(p).excluded?"reject":of(p).caption!==undefined?"edit":"approve",edited_caption:of(p).caption}));
+const a=document.createElement("a");a.href=URL.createObjectURL(new Blob([JSON.stringify({items})],{type:"application/json"}));a.download="pair_feedback.json";a.click()};draw();</script>"""
+
+
+def pair_review_page(pairs: DataFrame, path: str) -> int:
+    """A static page to review pairs (pair_id, page_id, order_index, caption_text, needs_review,
+    confidence, image): one person's, streamed in order.  Its export is a feedback file."""
+    rows = pairs.select("pair_id", "page_id", "order_index", "caption_text", "needs_review", "image", text.badge(F.col("confidence")).alias("badge")).orderBy("page_id", "order_index", "pair_id")
+    before, _, after = _PAIR_PAGE.partition("@@PAIRS@@")
+    n = 0
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(before + "[")
+        for row in rows.toLocalIterator():
+            f.write(("," if n else "") + json.dumps(row.asDict(), ensure_ascii=False).replace("</", "<\\/"))
+            n += 1
+        f.write("]" + after)
+    return n
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """Pairs as JSON, a row a page with its pairs in order (schema 2.0)."""
+    held = F.struct("order_index", *(c for c in pairs.columns if c not in ("order_index", "page_id")))
+    grouped = pairs.groupBy("page_id").agg(F.array_sort(F.collect_list(held)).alias("pairs"))
+    grouped.select(F.lit("2.0-sam").alias("schema_version"), F.array(F.struct("page_id", "pairs")).alias("pages")).write.mode("overwrite").json(path)
+
+
+def write_errors(errors: DataFrame, path: str) -> None:
+    """Error rows (page_id, stage, message), appended."""
+    errors.select("page_id", "stage", "message").write.mode("append").json(path)
+
+
 def png(rgb: np.ndarray) -> bytes:
     """A PNG of 8-bit gray or RGB pixels."""
     height, width = rgb.shape[:2]
