@@ -17,6 +17,9 @@ class OcrEngine(Protocol):
 
 
 class PageRenderer(Protocol):
+    def count(self, content: bytes) -> int:
+        """Pages of a document."""
+
     def pages(self, content: bytes, dpi: int) -> list[tuple[str, bytes]]:
         """(page id, encoded image) of each page of a document."""
 
