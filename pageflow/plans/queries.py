@@ -42,8 +42,8 @@ _TOK = f"WITH tok AS ({A.TOK})"
 _CLEANED = f"{_TOK}, {CLEAN_SQL}"
 
 
-def _cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.clean_tokens(A.tokens(spark, sf), _CLEAN)
+def _cleaned(spark: SparkSession, sf: str, options: pages.CleanOptions = _CLEAN) -> DataFrame:
+    return pages.clean_tokens(A.tokens(spark, sf), options)
 
 
 @query(f"{_CLEANED} SELECT page_id, ord, text, confidence, rank FROM clean")
@@ -55,14 +55,14 @@ _LAYOUT = """h AS (SELECT page_id, count(*) AS n, greatest(1, (max(x1) - min(x0)
 layout AS (SELECT p.page_id, CAST(coalesce(n, 0) AS INT) AS cleaned_words, CASE WHEN n IS NULL THEN 'unknown' WHEN largest / extent >= 0.7 AND extent / 1680000 <= 0.25 AND n <= 6 THEN 'single_word' ELSE 'multi_word' END AS layout_type, n IS NULL AS needs_review FROM (SELECT DISTINCT page_id FROM tok) p LEFT JOIN h USING (page_id))"""
 
 
-def _layouts(spark: SparkSession, sf: str) -> DataFrame:
+def _layouts(spark: SparkSession, sf: str, options: pages.CleanOptions = _CLEAN) -> DataFrame:
     found = A.tokens(spark, sf).select("page_id").distinct().withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
-    return pages.layouts(found, _cleaned(spark, sf))
+    return pages.layouts(found, _cleaned(spark, sf, options))
 
 
 @query(f"{_CLEANED}, {_LAYOUT} SELECT * FROM layout")
-def layout_classify(spark, sf):
-    return _layouts(spark, sf).select("page_id", "cleaned_words", "layout_type", "needs_review")
+def layout_classify(spark, sf, options=_CLEAN):
+    return _layouts(spark, sf, options).select("page_id", "cleaned_words", "layout_type", "needs_review")
 
 
 @query(f"""{_CLEANED} SELECT page_id, ord, round(least(1.0, 0.6 * confidence + CASE WHEN length(text) BETWEEN 3 AND 15 THEN 0.2 WHEN length(text) < 3 THEN 0.1 ELSE 0 END

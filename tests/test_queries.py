@@ -14,6 +14,11 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).limit(5).count() == 5
 
 
+def test_entry_keeps_the_seventh_token(spark):
+    found = __spark_entry__.entry(spark).agg({"cleaned_words": "max"}).first()[0]
+    assert found == 9  # by layout_classify, whose SQL caps pages at 6 tokens, it is 6
+
+
 def _boxes(spark, sf):
     from pageflow.plans import adapters
 
