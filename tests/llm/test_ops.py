@@ -135,6 +135,45 @@ def test_op3(spark, sf, odd):
     assert {(r.doc_id, r.item_id) for r in Q["op3_decontamination"](spark, odd).collect()} == {(4, 2)}
 
 
+def test_items_of_any_length_are_found(spark):
+    rng = random.Random(11)
+
+    def some(n):
+        return [f"w{int(900 * rng.random() ** 2)}" for _ in range(n)]
+
+    items = [(i, " ".join(some(1 + i % 20) + [f"end{i}"])) for i in range(60)] + [(98, None), (99, " . ")]
+    docs = []
+    for i, text in items[:60]:
+        words = some(rng.randrange(30, 300))
+        at = rng.randrange(len(words))
+        docs.append((i, " ".join([*words[:at], text, *words[at:]])))
+    docs.append((100, " ".join(some(5000))))
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for sample in (decontaminate.SAMPLE, 5):  # what the basis is fitted on loses nothing
+        got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench, sample).collect()}
+        assert {(i, i) for i in range(60)} <= got
+        assert not {(d, i) for d, i in got if d != i and len(items[i][1].split()) < decontaminate.LEAST}
+
+
+def test_rarest_words_miss_no_place():
+    """The searcher against every place of every text, without a gate."""
+    rng, terms = random.Random(12), decontaminate.Terms()
+    items = [(i, " ".join(f"w{int(60 * rng.random() ** 2)}" for _ in range(rng.randrange(8, 40))), None) for i in range(20)]
+    weight = np.random.default_rng(0).random(decontaminate.TERMS).astype(np.float32) + 1
+    basis = np.random.default_rng(1).standard_normal((decontaminate.TERMS, 8)).astype(np.float32)
+    searcher = decontaminate.Searcher(items, weight, basis, 10.0)
+    for _ in range(40):
+        words = [w for i in rng.sample(range(20), 2) for w in [f"w{int(90 * rng.random() ** 2)}" for _ in range(rng.randrange(60))] + [w for w in items[i][1].split() if rng.random() < 0.8]]
+        text, want = " ".join(words), set()
+        found, halves = decontaminate.norm_words(text), -(-len(terms.of(text)) // decontaminate.HALF)
+        for x in searcher.items:
+            n = len(x.words)
+            for p in range(max(1, halves - 1)):
+                if x.leak(found[max(0, p * decontaminate.HALF - n) : (p + 2) * decontaminate.HALF + n])[2]:
+                    want.add(x.id)
+        assert {leak[0] for leak in searcher.leaks(text)} == want
+
+
 def test_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
