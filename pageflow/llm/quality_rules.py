@@ -5,7 +5,9 @@ compared, by Jensen-Shannon distance, with references of each language.  The
 references are gathered over all documents that pass the base rules, by their
 ``lang``: every document weighs the same, so that long or hot ones don't sway
 them.  A text is rejected if it is far from every reference by either histogram;
-a histogram of too few characters or words is not judged.
+a histogram of too few characters or words is not judged, nor is a text whose
+own language has too few documents for a reference: others' would reject it for
+its language.
 
 Defined results: null or empty texts have no words and fail the base rules; a
 null ``lang`` gives a reference of its own; repeated rows count each; no rows
@@ -47,8 +49,8 @@ LEAST_CHARS, LEAST_WORDS = 200, 50
 #: sampling noise falls with the root of its size.
 CLASS_LIMIT, WORD_LIMIT = (0.15, 1.2), (0.17, 2.2)
 LIMITS = (CLASS_LIMIT, WORD_LIMIT, LEAST_CHARS, LEAST_WORDS)
-#: Documents that a language's reference needs, and the references held at most.
-LEAST_DOCS, MAX_LANGUAGES = 10, 1000
+#: Documents that a language's reference needs.
+LEAST_DOCS = 10
 
 
 def _class_table() -> np.ndarray:
@@ -160,38 +162,43 @@ def _gather(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], schema[1].type)], schema=schema)
 
 
-def references(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Language references over all of ``docs``: (classes, common words) each.
+def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
+    """References over all of ``docs`` by language: (classes, common words) each.
 
     Tasks send one row a language; those are summed by language and place."""
     sums = S.columns(docs, lang="string", text="string").mapInArrow(_gather, "lang string, sums array<double>")
     total = sums.select("lang", F.posexplode("sums")).groupBy("lang", "pos").agg(F.sum("col").alias("s"))
     by_lang = total.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("pos", "s"))).alias("m"))
-    # There are fewer languages than MAX_LANGUAGES; a column that holds something else can't flood the driver.
-    rows = by_lang.filter(F.col("m")[0] >= LEAST_DOCS).orderBy(F.col("m")[0].desc(), "lang").limit(MAX_LANGUAGES).collect()
-    out = []
-    for row in rows:
+    rows = by_lang.filter(F.col("m")[0] >= LEAST_DOCS).orderBy(F.col("m")[0].desc(), "lang").collect()
+    out = {}
+    for row in rows:  # a kilobyte a language
         v = np.array([row.m[i] for i in range(1 + N_CLASSES + N_WORDS)])
-        out.append((v[1 : 1 + N_CLASSES], v[1 + N_CLASSES :]))
+        out[row.lang] = v[1 : 1 + N_CLASSES], v[1 + N_CLASSES :]
     return out
 
 
+def judging(refs: dict) -> Callable[[str | None], list]:
+    """The references that a text of a language is judged by: all, or none without one of its own."""
+    every = list(refs.values())
+    return lambda lang: every if lang in refs else []
+
+
 def score_rules(docs: DataFrame, limits: tuple = LIMITS) -> DataFrame:
     """doc_id with the base counts, base_failed, kept and both distances."""
-    refs = references(docs)
+    by = judging(references(docs))
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64())])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from S.batches(((key, *judge(text, refs, limits)) for key, text in S.rows_of(found)), schema)
+        yield from S.batches(((key, *judge(text, by(lang), limits)) for key, text, lang in S.rows_of(found)), schema)
 
-    return S.columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double")
+    return S.columns(docs, doc_id="long", text="string", lang="string").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double")
 
 
-def keep_where(docs: DataFrame, test: Callable[[], Callable[[list], list]], text: str = "text") -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose text passes.
+def keep_where(docs: DataFrame, test: Callable[[], Callable[..., list]], *columns: str) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose text (or ``columns``, as strings) passes.
 
     ``test()`` is called once a task and gives a function from texts to booleans."""
-    at = docs.columns.index(text)
+    at = [docs.columns.index(c) for c in columns or ("text",)]
     S.small_batches(docs.sparkSession)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,15 +206,15 @@ def keep_where(docs: DataFrame, test: Callable[[], Callable[[list], list]], text
         for batch in found:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                yield part.filter(pa.array(passes(part.column(at).to_pylist()), pa.bool_()))
+                yield part.filter(pa.array(passes(*(part.column(i).cast(pa.string()).to_pylist() for i in at)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def filter_rules(docs: DataFrame, limits: tuple = LIMITS) -> DataFrame:
     """Pipeline stage: the documents kept, with their own columns."""
-    refs = references(docs)
-    return keep_where(docs, lambda: lambda texts: [judge(t, refs, limits)[6] for t in texts])
+    by = judging(references(docs))
+    return keep_where(docs, lambda: lambda texts, langs: [judge(t, by(lang), limits)[6] for t, lang in zip(texts, langs)], "text", "lang")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

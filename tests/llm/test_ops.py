@@ -202,6 +202,16 @@ def test_op4(spark, place):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_languages_without_a_reference_are_not_judged_by_others(spark):
+    rng, english = random.Random(6), quality_rules.COMMON["en"].split()
+    rows = [(i, " ".join(rng.choices(english, k=400)), "en") for i in range(20)]
+    rows += [(100 + i, " ".join(f"sana{rng.randrange(10_000)}" for _ in range(400)), lang) for i, lang in enumerate(["fi", "fi", "et", None, "en"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality_rules.score_rules(docs).collect() if r.kept}
+    assert kept == {*range(20), 100, 101, 102, 103}
+    assert {r.doc_id for r in quality_rules.filter_rules(docs).collect()} == kept
+
+
 def test_divergence():
     assert quality_rules.distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
     assert quality_rules.distance(np.array([3.0, 1]), np.array([3.0, 1])) == 0
