@@ -7,8 +7,10 @@ each round a group's documents are counted by shard; a document prefers the
 shard that holds most of its group; the moves that all shards ask for of each
 other are weighed against the shards' quotas, and that share of each flow which
 fits is carried out, chosen by hash.  Rounds end when no move is asked for or
-allowed.  Documents without links have no edge to cut: they fill what is left of
-each quota, by running size, so the law ``bytes`` holds: sizes near equal.
+allowed.  What then lies in a shard beyond its quota is let go, by whole groups (or
+parts of groups too large for that).  It and the documents without links, which
+have no edge to cut, fill what is left of each quota, by running size, so the law
+``bytes`` holds: no shard is over its quota by more than a document.
 
 The driver sees shard x shard sums, one sum a task, and the few documents larger
 than a 512th of a quota.  Defined results: null text has size 1 and is linked
@@ -29,6 +31,8 @@ from . import _shared as S
 SHARDS, ROUNDS = 16, 8
 #: Unlinked documents of more than quota / LARGE are placed one by one, largest first.
 LARGE = 512
+#: Hash places by which a shard's groups are let go; larger groups than quota / PARTS go in parts.
+PLACES, PARTS = 4096, 16
 _UNIT = 1 << 30
 
 
@@ -84,6 +88,26 @@ def propagate(linked: DataFrame, quota: float, shards: int, rounds: int, folder:
     return linked
 
 
+def within_quota(linked: DataFrame, groups: DataFrame, quota: float, shards: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(rows that stay, rows let go, bytes that stay by shard): no shard is over its quota.
+
+    The driver sees bytes by shard and hash place.  Rows let go are salted by
+    their group, so that those of one are placed together."""
+    parts = F.ceil(F.col("bytes") / F.lit(max(quota / PARTS, 1.0))).cast("int")
+    unit = F.xxhash64("g", F.pmod(F.col("salt"), parts))
+    held = linked.join(groups.select("g", "bytes"), "g").withColumn("unit", unit).withColumn("place", F.pmod("unit", F.lit(PLACES)).cast("int")).drop("bytes")
+    sums = np.zeros((shards, PLACES))
+    for row in held.groupBy("shard", "place").agg(F.sum("size").alias("bytes")).collect():  # shards x PLACES rows at most
+        sums[row.shard, row.place] = row.bytes
+    stays = np.ones(sums.shape, bool)
+    for shard in np.flatnonzero(sums.sum(1) > quota):
+        stays[shard] = np.cumsum(sums[shard]) <= quota
+    gone = F.lit(False)
+    for shard in np.flatnonzero(~stays.all(1)):
+        gone = gone | ((F.col("shard") == int(shard)) & (F.col("place") >= int(np.argmin(stays[shard]))))
+    return held.filter(~gone).select("key", "size", "crc", "shard"), held.filter(gone).select("key", "size", "crc", F.col("unit").alias("salt")), (sums * stays).sum(1)
+
+
 def _running(edges: list[tuple[float, int]], before: dict[int, int]):
     """Places documents by running size: ``edges`` are (end of a segment, shard)."""
     ends, shard_of = np.array([e for e, _ in edges]), [s for _, s in edges]
@@ -135,10 +159,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     linked = base.join(groups.select("g", "bytes"), "g").select("key", "size", "crc", "g", "salt", F.pmod(F.xxhash64("g") + F.pmod(F.col("salt"), span), F.lit(shards)).cast("int").alias("shard"))
     linked = S.saved(linked, f"{folder}/linked")
     linked = propagate(linked, quota, shards, rounds, folder)
-    load = np.zeros(shards)
-    for row in linked.groupBy("shard").agg(F.sum("size").alias("bytes")).collect():
-        load[row.shard] = row.bytes
-    single = base.join(groups.select("g"), "g", "left_anti").select("key", "size", "crc", "salt")
+    linked, gone, load = within_quota(linked, groups, quota, shards)
+    single = base.join(groups.select("g"), "g", "left_anti").select("key", "size", "crc", "salt").unionByName(gone)
     # Fewer than shards * LARGE documents are larger than quota / LARGE, as all have shards * quota bytes.
     cut = max(1, int(quota / LARGE))
     placed = []

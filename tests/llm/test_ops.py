@@ -374,6 +374,26 @@ def test_op10(spark, place):
     assert max(sizes.values()) <= sum(sizes.values()) / 16 + max(r.size for r in got)
 
 
+@pytest.mark.parametrize("copies", [[24, 40], [3, 700], [1, 900]])
+def test_groups_keep_the_quota(spark, copies):
+    groups, each = copies
+    rng = random.Random(groups)
+    rows = [(g * each + i, f"group {g} " + "x" * 500) for g in range(groups) for i in range(each)]
+    rows += [(10_000 + i, f"single {i} " + "y" * rng.randrange(1000)) for i in range(groups * each // 3)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.key for r in got) == [d for d, _ in rows]
+    sizes, where, slots = Counter(), defaultdict(set), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        if r.key < 10_000:
+            where[r.key // each].add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sizes.values()) <= sum(sizes.values()) / 16 + max(r.size for r in got)
+    if groups == 24:  # groups of half a quota: most of them stay whole
+        assert sum(len(w) == 1 for w in where.values()) >= 12
+
+
 def test_flow_keeps_the_quota():
     rng = np.random.default_rng(8)
     for _ in range(50):
