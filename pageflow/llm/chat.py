@@ -8,9 +8,10 @@ does, the turn is marked ``rewrites`` and its span begins where the outputs part
 The text's place in a turn is found by rendering the turn once more with an empty
 text: what both share before and after is the template's, the rest the text's.
 
-Prefixes are whole up to ``EXACT`` turns.  Beyond, a prefix is the conversation's
-first ``HEAD`` turns and its last ``TAIL`` ones, so that a conversation of any
-length is rendered in time in proportion and streamed in blocks of turns.
+Prefixes are whole, so a task holds a conversation and takes quadratic time for it.
+Only a template marked ``prefix_local``, which renders a turn alike after any turns
+(as the default one does, a join over turns), sees beyond ``EXACT`` turns just the
+first ``HEAD`` and the last ``TAIL`` ones, in time in proportion and blocks of turns.
 
 Defined results: null texts and roles are empty; rows of equal turn are ordered by
 role and text; repeated rows are turns of their own; rows of a null conversation
@@ -54,6 +55,9 @@ def default_template(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{START}{escape_role(r)}{MIDDLE}{escape(t)}{END}" for r, t in turns)
 
 
+default_template.prefix_local = True
+
+
 _TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<]|\\.)*) </turn>\n", re.S)
 
 
@@ -80,15 +84,15 @@ def _common(a: str, b: str) -> int:
 
 
 class Incremental:
-    """Renders a conversation turn by turn; holds a bounded part of it."""
+    """Renders a conversation turn by turn; holds a bounded part of it if the template is prefix-local."""
 
     def __init__(self, render: Template):
         self.render, self.turns, self.output = render, [], render([])
-        self.preamble = self.output
+        self.preamble, self.local = self.output, getattr(render, "prefix_local", False)
 
     def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
         """(what the output grows by, the text's begin and end in it, rewrites)."""
-        if len(self.turns) >= EXACT:
+        if self.local and len(self.turns) >= EXACT:
             self.turns = self.turns[:HEAD] + self.turns[-TAIL:]
             self.output = self.render(self.turns)
         before = self.turns
@@ -114,7 +118,8 @@ def format_chats(rows: DataFrame, render: Template = default_template) -> DataFr
     """conv_id, block, formatted, spans: a conversation's output in blocks of turns.
 
     Spans count code points from the block's begin.  Conversations are dealt out
-    by id and streamed in turn order: a task holds a bounded part of one."""
+    by id and streamed in turn order: a task holds a bounded part of one, or all of
+    it for a template that is not prefix-local."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = S.columns(rows, conv_id="long", turn="long", role="string", text="string")
     dealt = held.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")

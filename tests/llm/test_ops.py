@@ -293,6 +293,22 @@ def test_op7(spark, odd):
     assert sorted(want) == sorted(repr(tuple(r)) for r in Q["op7_chat_formatting"](spark, odd).collect())
 
 
+def test_long_conversations_are_rendered_whole():
+    def numbered(turns):
+        return "".join(f"{i}. {r}: {t}\n" for i, (r, t) in enumerate(turns, 1))
+
+    def forgets(turns):  # from 35 turns on, the tenth is dropped
+        return numbered([x for i, x in enumerate(turns) if i != 9 or len(turns) < 35])
+
+    turns = [("user", f"said {i}") for i in range(40)]
+    state = chat.Incremental(numbered)
+    assert "".join(state.add(*t)[0] for t in turns) == numbered(turns)
+    state = chat.Incremental(forgets)
+    assert [i for i, t in enumerate(turns) if state.add(*t)[3]] == [34]
+    state = chat.Incremental(chat.default_template)
+    assert "".join(state.add(*t)[0] for t in turns) == chat.default_template(turns) and len(state.turns) < 40
+
+
 def test_rewritten_history_is_detected():
     def rewriting(turns):  # drops all but the last thought
         return "".join(f"[{r}]{t if r != 'think' or k == len(turns) - 1 else ''}|" for k, (r, t) in enumerate(turns))
