@@ -57,7 +57,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)).search if added else None
         self.find = regex.compile(PATTERN).findall
         model, letters = self.tokenizer.model, _byte_letters()
 
@@ -86,6 +87,8 @@ class Encoder:
         """The ids of one text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self.added and self.added(text):  # the library cuts added tokens out before its pattern
+            return self.whole(text)
         if _PLAIN.search(text):
             return self.whole(text) if _UNSURE.search(text) else self.cut(text)
         if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1] in " \n":

@@ -80,6 +80,14 @@ def test_sql(spark, sf, name):
     same(Q[name](spark, sf), queries.oracle_sql()[name], sf)
 
 
+def test_added_tokens_equal_library():
+    from tokenizers import Tokenizer
+
+    untouched, encoder = Tokenizer.from_file(tokens.default_path()), tokens.encoder(tokens.default_path())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "plain\n<|endoftext|><|endoftext|> words", "a <|endoftext| > b"):
+        assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == untouched.encode(text, add_special_tokens=False).ids
+
+
 def test_tokens_equal_library():
     e = tokens.Encoder(tokens.default_path())
     rng = random.Random(2)
