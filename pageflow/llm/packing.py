@@ -1,12 +1,13 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
-Documents are cut into pieces and the pieces joined to windows of at most
-``capacity`` ids.  A document's full windows stand alone.  What remains of a
-group of documents is cut into pieces of a quarter window at most and dealt to k
-windows: a partial partition is k sums with their pieces; the two partitions of
-the widest spread are merged, the largest sum of one onto the smallest of the
-other, until one is left, whose windows are near-equal.  k starts at the least
-number that could hold the ids and rises whenever a window exceeds the capacity.
+Documents are joined to windows of at most ``capacity`` ids.  A document's full
+windows stand alone.  What remains of each document of a group is dealt, whole, to k
+windows: a partial partition is k sums with their pieces; the two partitions of the
+widest spread are merged, the largest sum of one onto the smallest of the other, until
+one is left, whose windows are near-equal.  k starts at the least number that could
+hold the ids and rises while a window exceeds the capacity, until padding would exceed
+``PADDING``.  Only then is a document cut: what a window holds too much of is taken off
+the end of its longest piece and fills the room of other windows.
 
 A group is a run of documents of one task, so packing needs no shuffle, no
 window crosses a task, and memory holds one group.  A retried task packs the
@@ -17,7 +18,6 @@ id alone; null and repeated keys are packed as any; no rows give no pieces.
 from __future__ import annotations
 
 import heapq
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,9 @@ from . import _shared as S
 from . import tokens as T
 
 #: Documents and ids of a group, whichever is met first.
-GROUP_DOCS, GROUP_IDS = 800, 1 << 20
+GROUP_DOCS, GROUP_IDS = 400, 1 << 20
+#: Padding beyond which documents are cut instead.
+PADDING = 0.01
 #: Sequence ids of a task lie in a range of their own.
 _TASK_BITS = 33
 
@@ -60,57 +62,90 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return heap[0][3] if heap else []
 
 
-def fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """The least k, tried upwards, whose differencing keeps to the capacity."""
+def fit(sizes: list[int], capacity: int, most_windows: int | None = None) -> list[list[int]]:
+    """The least k, tried upwards to ``most_windows``, whose differencing keeps to the capacity."""
     total = sum(sizes)
     k = max(1, -(-total // capacity))
     while True:
         sets = differencing(sizes, k)
         most = max((sum(sizes[i] for i in s) for s in sets), default=0)
-        if most <= capacity:
+        if most <= capacity or most_windows is not None and k >= most_windows:
             return sets
         k = max(k + 1, -(-k * most // (capacity + most - 1)) if most < 2 * capacity else k + 1)
-
-
-def _pack(path: str, end_id: int, capacity: int):
+        if most_windows is not None:  # one rise to what padding allows: documents are cut beyond it
+            k = max(k, most_windows)
+
+
+def windows(sizes: list[int], capacity: int, padding: float = PADDING) -> list[list[tuple[int, int, int]]]:
+    """Windows of pieces (index, begin, length) that hold every id of ``sizes`` once."""
+    least = max(1, -(-sum(sizes) // capacity))
+    out = [[(i, 0, sizes[i]) for i in s] for s in fit(sizes, capacity, max(least, int(sum(sizes) * (1 + padding) // capacity)))]
+    cut: list[tuple[int, int, int]] = []
+    room: list[tuple[int, int]] = []
+    for w, pieces in enumerate(out):
+        over = sum(p[2] for p in pieces) - capacity
+        while over > 0:
+            at = max(range(len(pieces)), key=lambda j: pieces[j][2])
+            i, begin, n = pieces.pop(at)
+            off = min(over, n)
+            cut.append((i, begin + n - off, off))
+            over -= off
+            if n > off:
+                pieces.append((i, begin, n - off))
+        if over < 0:
+            room.append((over, w))
+    room.sort()
+    cut.sort(key=lambda p: p[2])
+    while cut:  # the longest piece to the widest room, in parts where it must be
+        i, begin, n = cut.pop()
+        free, w = room[0]
+        some = min(n, -free)
+        out[w].append((i, begin, some))
+        heapq.heapreplace(room, (free + some, w)) if free + some < 0 else heapq.heappop(room)
+        if some < n:
+            cut.append((i, begin + some, n - some))
+    return out
+
+
+def _pack(path: str, by_rank: bool, end_id: int, capacity: int):
     schema = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
-    piece_ids = max(1, capacity // 4)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = T.encoder(path).encode, struct.pack("<I", end_id)
+        encode = T.encoder(path, by_rank).encode
         sequence = TaskContext.get().partitionId() << _TASK_BITS
 
         def rows():
             nonlocal sequence
             held: list[tuple] = []  # key, start, doc_tokens, ids
-            docs = ids = 0
+            docs = total = 0
 
             def packed():
                 nonlocal sequence
-                sizes = [len(h[3]) // 4 for h in held]
-                for window in fit(sizes, capacity):
+                for window in windows([len(h[3]) for h in held], capacity):
                     offset = 0
-                    for i in sorted(window):
-                        key, start, n, body = held[i]
-                        yield key, start, sizes[i], n, sequence, offset, body
-                        offset += sizes[i]
+                    for i, begin, length in sorted(window):
+                        key, start, n, ids = held[i]
+                        yield key, start + begin, length, n, sequence, offset, ids[begin : begin + length].tobytes()
+                        offset += length
                     sequence += 1
 
             for key, text in S.rows_of(found):
-                body = encode(text) + end
-                n = len(body) // 4
+                ids = encode(text, end_id)
+                n = len(ids)
                 full = n - n % capacity
                 for at in range(0, full, capacity):
-                    yield key, at, capacity, n, sequence, 0, body[4 * at : 4 * (at + capacity)]
+                    yield key, at, capacity, n, sequence, 0, ids[at : at + capacity].tobytes()
                     sequence += 1
-                held.extend((key, at, n, body[4 * at : 4 * min(n, at + piece_ids)]) for at in range(full, n, piece_ids))
-                docs, ids = docs + 1, ids + n - full
-                if docs >= GROUP_DOCS or ids >= GROUP_IDS:
+                if full < n:
+                    held.append((key, full, n, ids[full:].copy()))
+                docs, total = docs + 1, total + n - full
+                if docs >= GROUP_DOCS or total >= GROUP_IDS:
                     yield from packed()
-                    held, docs, ids = [], 0, 0
-            yield from packed()
+                    held, docs, total = [], 0, 0
+            if held:
+                yield from packed()
 
         yield from S.batches(rows(), schema)
 
@@ -120,7 +155,7 @@ def _pack(path: str, end_id: int, capacity: int):
 def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of ``docs`` in windows: key, start (the document's ids before the
     piece), length, doc_tokens, sequence_id, offset, ids (little-endian u32)."""
-    run, schema = _pack(path, end_id, capacity)
+    run, schema = _pack(path, T.ranked(path), end_id, capacity)
     return S.columns(docs, **{key: "long", text: "string"}).mapInArrow(run, schema)
 
 

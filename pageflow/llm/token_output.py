@@ -17,7 +17,7 @@ its own and renamed when whole, so lost executors and retries do no harm.
 
 Null or empty texts give documents of the end id alone; rows with a null key
 come first (under the smallest long, which stands for null in a file); repeated keys are
-kept, one document each, ordered by their packed bytes.  No rows: no file, no row.
+kept, one document each, ordered by a hash of their packed bytes.  No rows: no file, no row.
 """
 
 from __future__ import annotations
@@ -87,29 +87,31 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _tokenise(path: str, end_id: int, n_vocab: int):
+def _tokenise(path: str, by_rank: bool, end_id: int, n_vocab: int):
     """Texts -> packed ids, and at the end of a task its histogram of ids."""
     schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
-
-    def packed(body: bytes, pack) -> tuple[int, bytes]:
-        ids = np.frombuffer(body, "<u4")
-        return len(ids), pack((ids.astype("<u2") if n_vocab <= 1 << 16 else ids).tobytes())
+    narrow = np.uint16 if n_vocab <= 1 << 16 else np.uint32
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = T.encoder(path).encode, struct.pack("<I", end_id)
-        seen, pack = np.zeros(n_vocab, np.int64), zstandard.ZstdCompressor(level=1).compress
+        encode, pack = T.encoder(path, by_rank).encode, zstandard.ZstdCompressor(level=1).compress
+        seen, uncounted, n = np.zeros(n_vocab, np.int64), [], 0
+
+        def counted():
+            nonlocal seen, uncounted, n
+            if uncounted:
+                seen += np.bincount(np.concatenate(uncounted), minlength=n_vocab)
+                uncounted, n = [], 0
 
         def rows():
-            nonlocal seen
-            uncounted = bytearray()
+            nonlocal n
             for key, text in S.rows_of(found):
-                body = encode(text) + end
-                uncounted += body
-                if len(uncounted) > 1 << 22:
-                    seen += np.bincount(np.frombuffer(bytes(uncounted), "<u4"), minlength=n_vocab)
-                    uncounted.clear()
-                yield (_NULL if key is None else key, *packed(body, pack))
-            seen += np.bincount(np.frombuffer(bytes(uncounted), "<u4"), minlength=n_vocab)
+                ids = encode(text, end_id).astype(narrow)
+                uncounted.append(ids)
+                n += len(ids)
+                if n > 1 << 20:
+                    counted()
+                yield _NULL if key is None else key, len(ids), pack(ids)
+            counted()
             used = np.flatnonzero(seen)
             if len(used):  # a row with n = -1 is the histogram of a task
                 yield None, -1, np.stack([used, seen[used]]).astype("<i8").tobytes()
@@ -120,7 +122,7 @@ def _tokenise(path: str, end_id: int, n_vocab: int):
 
 
 def _unpack(body: bytes, n_vocab: int, unpack) -> np.ndarray:
-    return np.frombuffer(unpack(body), "<u2" if n_vocab <= 1 << 16 else "<u4").astype(np.uint32)
+    return np.frombuffer(unpack(body), np.uint16 if n_vocab <= 1 << 16 else np.uint32)
 
 
 def _write(folder: str, rank_of: bytes, n_vocab: int):
@@ -174,7 +176,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, key: str
 
     spark = docs.sparkSession
     n_vocab = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
-    run, schema = _tokenise(path, end_id, n_vocab)
+    run, schema = _tokenise(path, T.ranked(path), end_id, n_vocab)
     held = S.saved(S.columns(docs, **{key: "long", text: "string"}).mapInArrow(run, schema), f"{folder}/_ids")
     # One row a task has a histogram; sums are made by task pairs, then the V rows of the sum are fetched.
     counts = held.filter("n = -1").select("body").mapInArrow(_histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
@@ -187,7 +189,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, key: str
     S.put_file(f"{folder}/ranks.bin", [order.tobytes()])
     run, schema = _write(folder, rank_of.tobytes(), n_vocab)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = held.filter("n >= 0").repartitionByRange(n_parts, "key", F.xxhash64("body")).sortWithinPartitions("key", "body")
+    dealt = held.filter("n >= 0").withColumn("salt", F.xxhash64("body")).repartitionByRange(n_parts, "key", "salt").sortWithinPartitions("key", "salt", "body")
     files = S.saved(dealt.select("key", "body").mapInArrow(run, schema), f"{folder}/_manifest")
     S.drop(spark, f"{folder}/_ids")
     # The manifest has a row a file: the start of each is a sum over fewer rows than tasks.

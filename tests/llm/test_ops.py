@@ -83,17 +83,48 @@ def test_sql(spark, sf, name):
 def test_added_tokens_equal_library():
     from tokenizers import Tokenizer
 
-    untouched, encoder = Tokenizer.from_file(tokens.default_path()), tokens.encoder(tokens.default_path())
+    untouched, encoder = Tokenizer.from_file(tokens.default_path()), tokens.encoder(tokens.default_path(), True)
     for text in ("a <|endoftext|> b", "<|endoftext|>", "plain\n<|endoftext|><|endoftext|> words", "a <|endoftext| > b"):
-        assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == untouched.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text).tolist() == untouched.encode(text, add_special_tokens=False).ids
 
 
 def test_tokens_equal_library():
-    e = tokens.Encoder(tokens.default_path())
+    from tokenizers import Tokenizer
+
+    assert tokens.ranked(tokens.default_path())
+    untouched, e = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path(), True)
     rng = random.Random(2)
-    pool = [" ", "  ", "\n", "\n\n", "\t", "a", "The", "é", "ß", "12", "½", "'s", "'", ".", "!?", "日", "\x1c", " ", " ", "ª", "_", "<|endoftext|>"]
-    for text in [*(t for _, t, *_ in odd_rows() if t), *("".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for _ in range(3000))]:
-        assert e.encode(text) == e.whole(text), repr(text[:80])
+    pool = [" ", "  ", "\n", "\n\n", "\t", "a", "The", "é", "ß", "12", "½", "'s", "'S", "'ll", "'", ".", "!?", "日", "\x00", "\x1c", "\x85", "\xa0", "\xad", "—", "’", "²", "ª", "_", "<|endoftext|>"]
+    texts = [*(t for _, t, *_ in odd_rows() if t), *("".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for _ in range(3000))]
+    texts += ["x" * 3000, "ab" * 3000, " " * 3000 + "x", "\n" * 3000, LONG * 8]
+    for text in texts:
+        assert e.encode(text, 7).tolist() == [*untouched.encode(text, add_special_tokens=False).ids, 7], repr(text[:80])
+    assert e.encode(None).tolist() == e.encode("").tolist() == [] and e.encode(None, 3).tolist() == [3]
+
+
+def test_every_word_is_merged_as_by_the_library():
+    """Random strings of the vocabulary's own pieces, where merges compete."""
+    from tokenizers import Tokenizer
+
+    untouched, e = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path(), True)
+    pieces = [x.decode() for x in tokens._entries(tokens.default_path())[0] if x.isalpha()]
+    rng = random.Random(14)
+    for _ in range(300):
+        text = " ".join("".join(rng.choices(pieces, k=rng.randrange(1, 6))) for _ in range(40))
+        assert e.encode(text).tolist() == untouched.encode(text, add_special_tokens=False).ids
+
+
+def test_a_vocabulary_whose_merges_are_not_by_rank_goes_to_the_library(tmp_path):
+    import json
+
+    held = json.load(open(tokens.default_path(), encoding="utf-8"))
+    merges = held["model"]["merges"]
+    merges[100], merges[20_000] = merges[20_000], merges[100]
+    path = str(tmp_path / "mixed.json")
+    json.dump(held, open(path, "w", encoding="utf-8"))
+    assert not tokens.ranked(path)
+    e = tokens.Encoder(path, tokens.ranked(path))
+    assert e.encode(GOOD).tolist() == e.whole(GOOD).tolist()
 
 
 def test_op1(spark, sf, odd):
@@ -115,10 +146,10 @@ def test_factorisation_identity():
 
 def test_op2(spark, place):
     got = Q["op2_token_output"](spark, place).collect()
-    e, start = tokens.Encoder(tokens.default_path()), 0
+    e, start = tokens.Encoder(tokens.default_path(), False), 0
     want = []
     for d, t in texts(spark, place):
-        body = np.append(np.frombuffer(e.whole(t or ""), "<u4"), np.uint32(2)).astype("<u4").tobytes()
+        body = np.append(e.whole(t or ""), np.uint32(2)).astype("<u4").tobytes()
         want.append((d, len(body) // 4, zlib.crc32(body)))
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_tokens, r.ids_crc32)) for r in got)
     for r in sorted(got, key=lambda r: r.start):
@@ -227,10 +258,10 @@ def test_divergence():
 
 def test_op5(spark, place):
     got = Q["op5_packing"](spark, place).collect()
-    e, windows = tokens.Encoder(tokens.default_path()), defaultdict(list)
+    e, windows = tokens.Encoder(tokens.default_path(), False), defaultdict(list)
     left = Counter()
     for d, t in texts(spark, place):
-        body = np.append(np.frombuffer(e.whole(t or ""), "<u4"), np.uint32(0)).astype("<u4")
+        body = np.append(e.whole(t or ""), np.uint32(0)).astype("<u4")
         left[d, len(body)] += len(body)
     for r in got:
         windows[r.sequence_id].append(r)
@@ -244,6 +275,25 @@ def test_op5(spark, place):
         assert at <= 1024
 
 
+def test_documents_are_cut_only_for_padding():
+    rng = random.Random(16)
+    for most, cut_share in ((200, 0.0), (1023, 0.4)):
+        sizes = [rng.randrange(1, most + 1) for _ in range(400)]
+        found, got = packing.windows(sizes, 1024), defaultdict(list)
+        for w in found:
+            assert 0 < sum(n for _, _, n in w) <= 1024
+            for i, begin, n in w:
+                got[i].append((begin, n))
+        for i, size in enumerate(sizes):  # every id in just one piece
+            at = 0
+            for begin, n in sorted(got[i]):
+                assert begin == at and n > 0
+                at += n
+            assert at == size
+        assert len(found) * 1024 <= 1.02 * sum(sizes) + 1024
+        assert sum(len(x) > 1 for x in got.values()) <= cut_share * len(sizes)
+
+
 def test_differencing_is_near_equal():
     rng = random.Random(6)
     sizes = [rng.randrange(1, 257) for _ in range(600)]
