@@ -1,18 +1,20 @@
 """Sharding by balanced label propagation.
 
 Documents of equal text are linked (each to its group, as a star: no pairs are
-made).  Every linked document starts in the shard its group's hash names or, for
-the part of a large group that exceeds that shard, where its own hash says.  In
-each round a group's documents are counted by shard; a document prefers the
-shard that holds most of its group; the moves that all shards ask for of each
-other are weighed against the shards' quotas, and that share of each flow which
-fits is carried out, chosen by hash.  Rounds end when no move is asked for or
-allowed.  What then lies in a shard beyond its quota is let go, by whole groups (or
-parts of groups too large for that).  It and the documents without links, which
-have no edge to cut, fill what is left of each quota, by running size, so the law
-``bytes`` holds: no shard is over its quota by more than a document.
-
-The driver sees shard x shard sums, one sum a task, and the few documents larger
+made).  Every document starts in the shard that its own hash names.  In each round a
+group's documents are counted by shard; a document prefers the shard that holds most
+of its group (of a large group: most, of the shards with room for it); the moves that all shards ask for of each other are weighed against the
+shards' quotas, and that share of each flow which fits is carried out, chosen by a
+hash of the group (of the document, where a group is large).  An edge is cut if a
+document is not in the shard that holds most of its group.  Rounds end when no move
+is asked for or allowed.  What then lies in a shard beyond its quota is let go, by
+whole groups (or parts of groups too large for that).  It and the documents without
+links, which have no edge to cut, fill what is left of each quota, by running size, so
+the law ``bytes`` holds: no shard is over its quota by more than a document.
+
+A group of more than a ``HOT``-th of all rows is joined in slices, so that no key
+holds more rows than that; there are fewer than ``HOT`` such groups to broadcast.  The
+driver sees shard x shard sums, one sum a task, and the few documents larger
 than a 512th of a quota.  Defined results: null text has size 1 and is linked
 with nothing; null and repeated ids are placed by row; no rows give no rows.
 """
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from . import _shared as S
 
 SHARDS, ROUNDS = 16, 8
+#: Largest share of all rows that one join key holds: a HOT-th.
+HOT = 256
 #: Unlinked documents of more than quota / LARGE are placed one by one, largest first.
 LARGE = 512
 #: Hash places by which a shard's groups are let go; larger groups than quota / PARTS go in parts.
@@ -62,40 +66,74 @@ def allowed_flow(wanted: np.ndarray, load: np.ndarray, quota: float) -> np.ndarr
     return np.clip(share, 0, 1)
 
 
-def propagate(linked: DataFrame, quota: float, shards: int, rounds: int, folder: str) -> DataFrame:
-    """Rounds over (.., g, size, salt, shard); returns the same columns."""
-    for k in range(rounds):
-        held = linked.groupBy("g", "shard").agg(F.sum("size").alias("bytes"))
-        heaviest = held.groupBy("g").agg(F.max_by("shard", F.struct("bytes", -F.col("shard"))).alias("best"))
-        asked = linked.join(heaviest, "g")  # AQE splits a hot group's partition
+def large_targets(held: dict[bytes, dict[int, float]], load: np.ndarray, quota: float) -> dict[bytes, int]:
+    """The shard that each large group is drawn to: that which holds most of it, of
+    those with room for all of it; the one with most room where there is none.
+
+    ``held``: bytes by group and shard; ``load``: bytes of other linked rows by shard."""
+    room, out = quota - load, {}
+    for g, by in sorted(held.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+        size = sum(by.values())
+        fits = [s for s in range(len(load)) if room[s] >= size * (1 - 1e-9)]
+        out[g] = max(fits, key=lambda s: (by.get(s, 0), -s)) if fits else int(room.argmax())
+        room[out[g]] -= min(size, max(room[out[g]], 0))
+    return out
+
+
+def propagate(linked: DataFrame, quota: float, shards: int, rounds: int, folder: str, report: list | None = None) -> DataFrame:
+    """Rounds over (.., g, slice, fan, bytes, size, salt, shard); returns the same columns.
+
+    ``report`` gets (edges cut, bytes moved) of each round, the last with none moved."""
+    for k in range(rounds + 1):
+        held = S.saved(linked.groupBy("g", "shard").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("rows"), F.max("fan").alias("fan"), F.max("bytes").alias("bytes")), f"{folder}/held{k}")
+        best = F.max_by(F.struct("shard", "rows"), F.struct("held", -F.col("shard"))).alias("best")
+        most = S.saved(held.groupBy("g").agg(best, F.sum("rows").alias("rows"), F.max("fan").alias("fan")), f"{folder}/best{k}")
+        cut = most.agg(F.sum(F.col("rows") - F.col("best.rows"))).first()[0] or 0
+        if k == rounds or not cut:
+            break
+        # Fewer than shards x PARTS groups are large: their targets are found together.
+        large, small = {}, np.zeros(shards)
+        for row in held.filter(F.col("bytes") > quota / PARTS).select("g", "shard", "held").collect():
+            large.setdefault(bytes(row.g), {})[row.shard] = row.held
+        for row in held.filter(F.col("bytes") <= quota / PARTS).groupBy("shard").agg(F.sum("held").alias("held")).collect():
+            small[row.shard] = row.held
+        target = held.sparkSession.createDataFrame(list(large_targets(large, small, quota).items()), "g binary, target int")
+        chosen = most.join(F.broadcast(target), "g", "left").withColumn("best", F.coalesce("target", "best.shard"))
+        slices = chosen.select("g", "best", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("slice"))
+        asked = linked.join(slices.hint("merge"), ["g", "slice"])
         flow = np.zeros((shards, shards))
-        for row in asked.groupBy("shard", "best").agg(F.sum("size").alias("bytes")).collect():
-            flow[row.shard, row.best] = row.bytes
+        for row in asked.groupBy("shard", "best").agg(F.sum("size").alias("held")).collect():
+            flow[row.shard, row.best] = row.held
         load = flow.sum(1)
         np.fill_diagonal(flow, 0)
         share = allowed_flow(flow, load, quota)
-        if not flow.any() or (flow * share).sum() < 1e-4 * load.sum():
+        if (flow * share).sum() < 1e-4 * load.sum():
             break
-        limit = F.lit(0.0)
-        for a, b in zip(*np.nonzero(share)):
-            limit = F.when((F.col("shard") == int(a)) & (F.col("best") == int(b)), F.lit(float(share[a, b]))).otherwise(limit)
-        # A flow's group parts move whole where it is allowed in full, else by document.
-        moves = _unit("g", "salt", F.lit(k)) < limit
-        moved = asked.withColumn("shard", F.when(moves, F.col("best")).otherwise(F.col("shard"))).select(*linked.columns)
-        last, linked = linked, S.saved(moved, f"{folder}/round{k}")
+        # A group's part moves whole; a part of a group that is large for a shard moves by document.
+        whole = F.col("bytes") <= quota / PARTS
+        chance = F.when(whole, _unit("g", F.lit(k))).otherwise(_unit("g", "salt", F.lit(k)))
+        limit = F.get(F.array(*(F.lit(float(x)) for x in share.ravel())), F.col("shard") * shards + F.col("best"))
+        moved = asked.withColumn("shard", F.when(chance < limit, F.col("best")).otherwise(F.col("shard"))).select(*linked.columns)
+        if report is not None:
+            report.append((int(cut), float((flow * share).sum())))
+        linked = S.saved(moved, f"{folder}/round{k}")
+        for name in ("best", "held"):
+            S.drop(linked.sparkSession, f"{folder}/{name}{k}")
         if k:
-            S.drop(last.sparkSession, f"{folder}/round{k - 1}")
+            S.drop(linked.sparkSession, f"{folder}/round{k - 1}")
+    if report is not None:
+        report.append((int(cut), 0.0))
     return linked
 
 
-def within_quota(linked: DataFrame, groups: DataFrame, quota: float, shards: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+def within_quota(linked: DataFrame, quota: float, shards: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(rows that stay, rows let go, bytes that stay by shard): no shard is over its quota.
 
     The driver sees bytes by shard and hash place.  Rows let go are salted by
     their group, so that those of one are placed together."""
     parts = F.ceil(F.col("bytes") / F.lit(max(quota / PARTS, 1.0))).cast("int")
     unit = F.xxhash64("g", F.pmod(F.col("salt"), parts))
-    held = linked.join(groups.select("g", "bytes"), "g").withColumn("unit", unit).withColumn("place", F.pmod("unit", F.lit(PLACES)).cast("int")).drop("bytes")
+    held = linked.withColumn("unit", unit).withColumn("place", F.pmod("unit", F.lit(PLACES)).cast("int"))
     sums = np.zeros((shards, PLACES))
     for row in held.groupBy("shard", "place").agg(F.sum("size").alias("bytes")).collect():  # shards x PLACES rows at most
         sums[row.shard, row.place] = row.bytes
@@ -143,7 +181,7 @@ def _slots(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from S.batches(rows(), schema)
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, key: str = "doc_id", text: str = "text", report: list | None = None) -> DataFrame:
     """key, size, crc (of the text), shard and slot (gapless in a shard) of each row."""
     spark = docs.sparkSession
     folder = S.scratch(spark, "shards")
@@ -151,16 +189,18 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     base = S.columns(docs, **{key: "long", text: "string"}).toDF("key", "text").select(
         "key", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("crc"), F.unhex(F.md5(body)).alias("g"))
     base = S.saved(base.withColumn("salt", F.xxhash64("key", "crc", F.monotonically_increasing_id())), f"{folder}/base")
-    total = base.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     quota = total / shards
     groups = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).filter("g is not null and n > 1")
-    # A group starts whole in a shard; one larger than a quota starts on as many shards as it fills.
-    span = F.least(F.lit(shards), F.ceil(F.col("bytes") / F.lit(max(quota, 1.0)))).cast("int")
-    linked = base.join(groups.select("g", "bytes"), "g").select("key", "size", "crc", "g", "salt", F.pmod(F.xxhash64("g") + F.pmod(F.col("salt"), span), F.lit(shards)).cast("int").alias("shard"))
-    linked = S.saved(linked, f"{folder}/linked")
-    linked = propagate(linked, quota, shards, rounds, folder)
-    linked, gone, load = within_quota(linked, groups, quota, shards)
-    single = base.join(groups.select("g"), "g", "left_anti").select("key", "size", "crc", "salt").unionByName(gone)
+    groups = S.saved(groups.select("g", "bytes", F.ceil(F.col("n") * HOT / F.lit(max(n_rows, 1))).cast("int").alias("fan")), f"{folder}/groups")
+    hot = F.broadcast(groups.filter("fan > 1").select("g", F.col("fan").alias("_fan")))  # fewer than HOT
+    slices = groups.select("g", "bytes", "fan", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("slice"))
+    rows = base.join(hot, "g", "left").withColumn("slice", F.pmod("salt", F.coalesce("_fan", F.lit(1))).cast("int")).drop("_fan")
+    rows = S.saved(rows.join(slices.hint("merge"), ["g", "slice"], "left"), f"{folder}/rows")
+    start = F.pmod(F.xxhash64("salt"), F.lit(shards)).cast("int")
+    linked = propagate(rows.filter("bytes is not null").withColumn("shard", start), quota, shards, rounds, folder, report)
+    linked, gone, load = within_quota(linked, quota, shards)
+    single = rows.filter("bytes is null").select("key", "size", "crc", "salt").unionByName(gone)
     # Fewer than shards * LARGE documents are larger than quota / LARGE, as all have shards * quota bytes.
     cut = max(1, int(quota / LARGE))
     placed = []

@@ -468,6 +468,35 @@ def test_groups_keep_the_quota(spark, copies):
         assert sum(len(w) == 1 for w in where.values()) >= 12
 
 
+def test_propagation_gathers_groups(spark):
+    """Rounds cut fewer and fewer edges, counted here from the shards, and sizes stay even."""
+    rng = random.Random(21)
+    rows = [(i, f"group {rng.randrange(400)} " + "x" * 300) for i in range(3000)] + [(10_000 + i, f"single {i} " + "y" * 300) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cuts = {}
+    for rounds in (0, 1, 8):
+        report, by, sizes = [], defaultdict(Counter), Counter()
+        for r in sharding.shard_documents(docs, rounds=rounds, report=report).collect():
+            by[rows[r.key][1] if r.key < 10_000 else r.key][r.shard] += 1
+            sizes[r.shard] += r.size
+        cuts[rounds] = sum(sum(c.values()) - max(c.values()) for c in by.values())
+        assert max(sizes.values()) <= sum(sizes.values()) / 16 + 400
+        moved = [bytes_ for _, bytes_ in report]
+        assert [c for c, _ in report] == sorted((c for c, _ in report), reverse=True) and moved[-1] == 0
+        assert (len(report) > 1 and moved[0] > 0) == (rounds > 0)
+        if not rounds:
+            assert report[0][0] > 2000  # by their own hash, documents lie apart
+    assert cuts[0] > 2000 and cuts[1] < cuts[0] / 4 and cuts[8] <= cuts[1]
+
+
+def test_a_hot_group_is_joined_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 4)
+    rows = [(i, "hot" if i % 3 else f"text {i // 9}") for i in range(900)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.key for r in got) == list(range(900))
+    assert {r.key: r.crc for r in got} == {i: zlib.crc32(t.encode()) for i, t in rows}
+
+
 def test_flow_keeps_the_quota():
     rng = np.random.default_rng(8)
     for _ in range(50):
