@@ -4,9 +4,14 @@ Each page becomes a WARC/1.1 record, a gzip member of its own.  Of records with
 equal payloads of at least ``least`` bytes that with the largest page id is a
 response and the others are revisits that refer to it; smaller payloads are all
 responses.  The index lists captures sorted by reversed-host URL key in blocks of
-``BLOCK`` lines, compressed one by one; the sparse directory has a line a block:
-its first key, file, offset and length.  A lookup searches the directory by
-bisection and then reads just the block's and the record's bytes.
+``BLOCK`` lines, compressed one by one; beside each index file lies its sparse
+directory, a line a block: its first key, offset, length and captures.  A lookup
+bisects the first keys of the index files (a row a task), then the directory of the
+file that it leads to, and then reads just the block's and the record's bytes: so no
+process holds more than one row a file and a few files' directories.
+
+Every file's name has its task attempt in it: a retried or speculative attempt writes
+files of its own, and the rows of the attempt that counts name its files.
 
 Defined results: a null html is an empty payload, a null or odd url the key it
 gives (empty for null); repeated rows of the largest page id of a payload are all
@@ -24,6 +29,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -89,13 +95,17 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, http, payload
 
 
+def _own(context) -> str:
+    return f"{context.partitionId():06d}-{context.taskAttemptId()}"
+
+
 def _write_records(folder: str):
     schema = pa.schema([("urlkey", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string())])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        file, rows, at = f"{folder}/archive-{TaskContext.get().partitionId():06d}.warc.gz", [], 0
+        file, rows, at = f"{folder}/archive-{_own(TaskContext.get())}.warc.gz", [], 0
 
         def members():
             nonlocal at
@@ -128,13 +138,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
 
 def _write_index(folder: str, block: int):
-    schema = pa.schema([("part", pa.int32()), ("first", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("captures", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("first", pa.string()), ("file", pa.string()), ("directory", pa.string()), ("blocks", pa.int64()), ("captures", pa.int64())])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        file, rows, at = f"{folder}/index-{part:06d}.cdx.gz", [], 0
+        name = f"{folder}/index-{_own(TaskContext.get())}"
+        sparse, at = [], 0
 
         def blocks():
             nonlocal at
@@ -144,7 +154,7 @@ def _write_index(folder: str, block: int):
             def ended():
                 nonlocal at
                 body = gzip.compress("\n".join(held).encode(), 6, mtime=0)
-                rows.append((part, first, file, at, len(body), len(held)))
+                sparse.append((first, at, len(body), len(held)))
                 at += len(body)
                 return body
 
@@ -160,17 +170,18 @@ def _write_index(folder: str, block: int):
         stream = blocks()
         first_block = next(stream, None)
         if first_block is not None:
-            S.put_file(file, (x for p in ((first_block,), stream) for x in p))
-        yield from S.batches(rows, schema)
+            S.put_file(f"{name}.cdx.gz", (x for p in ((first_block,), stream) for x in p))
+            S.put_file(f"{name}.dir.gz", [gzip.compress("\n".join(f"{key} {json.dumps(rest)}" for key, *rest in sparse).encode(), 6, mtime=0)])
+            yield from S.batches([(TaskContext.get().partitionId(), sparse[0][0], f"{name}.cdx.gz", f"{name}.dir.gz", len(sparse), sum(x[3] for x in sparse))], schema)
 
     return run
 
 
 def write_index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
-    """Writes the sorted, compressed blocks; returns the directory, a row a block."""
+    """Writes the sorted, compressed blocks and their directories; returns a row an index file."""
     n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = captures.repartitionByRange(n, "urlkey", "page_id").sortWithinPartitions("urlkey", "page_id", "file", "offset")
-    return S.saved(dealt.mapInArrow(_write_index(folder, block), "part int, first string, file string, offset long, length long, captures long"), f"{folder}/_directory")
+    return S.saved(dealt.mapInArrow(_write_index(folder, block), "part int, first string, file string, directory string, blocks long, captures long"), f"{folder}/_files")
 
 
 def read_range(file: str, offset: int, length: int) -> bytes:
@@ -186,65 +197,112 @@ def read_block(file: str, offset: int, length: int) -> list[tuple]:
 
 
 class Directory:
-    """The sparse directory in memory: finds the captures of a URL."""
+    """Finds the blocks that may hold a URL key, by bisection of files and then of blocks."""
 
-    def __init__(self, rows):
-        self.rows = sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[3]))
-        self.firsts = [r[1] for r in self.rows]
+    def __init__(self, files: list[tuple[str, str, str]]):
+        self.files, self.firsts = files, [f[0] for f in files]
+        self.sparse = lru_cache(maxsize=4)(self._sparse)
 
     @classmethod
-    def load(cls, directory: DataFrame) -> Directory:
-        return cls(directory.select("part", "first", "file", "offset", "length", "captures").collect())
+    def load(cls, index: DataFrame) -> Directory:
+        """From the rows of write_index(): as many as there were tasks."""
+        return cls([(r.first, r.file, r.directory) for r in sorted(index.collect(), key=lambda r: r.part)])
+
+    @staticmethod
+    def _sparse(directory: str) -> tuple[list[str], list[tuple[int, int]]]:
+        """(first keys, (offset, length)) of a file's blocks."""
+        store, path = S.filesystem(directory)
+        with store.open_input_stream(path, compression=None) as source:
+            lines = gzip.decompress(source.read()).decode().split("\n")
+        rows = [(key, json.loads(rest)) for key, _, rest in (x.partition(" ") for x in lines)]
+        return [key for key, _ in rows], [(r[0], r[1]) for _, r in rows]
+
+    @staticmethod
+    def _within(firsts: list[str], key: str) -> range:
+        """Places whose keys may reach ``key``: from the last that begins before it."""
+        return range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key))
+
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        for i in self._within(self.firsts, key):
+            _, file, directory = self.files[i]
+            firsts, at = self.sparse(directory)
+            for j in self._within(firsts, key):
+                yield file, *at[j]
 
     def lookup(self, url: str | None) -> list[tuple]:
-        """Captures of a URL: bisection, then the blocks that can hold its key."""
-        key, out = url_key(url), []
-        i = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        while i < len(self.rows) and self.firsts[i] <= key:
-            out += [c for c in read_block(*self.rows[i][2:5]) if c[0] == key]
-            i += 1
-        return out
+        """Captures of a URL."""
+        key = url_key(url)
+        return [c for block in self.blocks(key) for c in read_block(*block) if c[0] == key]
+
+
+def look_up(urls: DataFrame, index: DataFrame) -> DataFrame:
+    """(urlkey, file, offset, length): the blocks that may hold each key of ``urls`` (url)."""
+    directory = Directory.load(index).files
+    key_schema = pa.schema([("urlkey", pa.string())])
+    schema = pa.schema([("urlkey", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
+    def keys(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from S.batches(((url_key(url),) for (url,) in S.rows_of(found)), key_schema)
 
-def read_archives(directory: DataFrame) -> DataFrame:
-    """Reads every capture of the index back: page_id, url, payload_bytes,
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Directory(directory)
+        yield from S.batches(((key, *block) for (key,) in S.rows_of(found) for block in held.blocks(key)), schema)
+
+    n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = S.columns(urls, url="string").mapInArrow(keys, "urlkey string").distinct()
+    return asked.repartitionByRange(n, "urlkey").sortWithinPartitions("urlkey").mapInArrow(run, "urlkey string, file string, offset long, length long")
+
+
+def read_archives(blocks: DataFrame) -> DataFrame:
+    """Reads the captures that were looked up: page_id, url, payload_bytes,
     payload_digest, record_type, refers_to, payload (null for a revisit).
 
-    A task reads index blocks and then, file by file in order, the records' bytes."""
+    A block goes to one task with the keys that led to it: the block's bytes are read
+    once, then those of the records, file by file in order."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def number(uri: str | None) -> int | None:
         found = re.fullmatch(r"<urn:page:(-?\d+)>", uri or "")
         return int(found[1]) if found else None
 
+    def records(block: tuple, keys: set[str]) -> Iterator[tuple]:
+        captures = sorted((c for c in read_block(*block) if c[0] in keys), key=lambda c: (c[2], c[3]))
+        at = source = None
+        for _, _, file, offset, length, _ in captures:
+            if file != at:
+                store, path = S.filesystem(file)
+                at, source = file, store.open_input_file(path)
+            fields, http, payload = parse(source.read_at(length, offset))
+            kind = fields["WARC-Type"]
+            size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+            if kind == "response" and (size != len(payload) or fields["WARC-Payload-Digest"] != "sha1:" + payload_digest(payload)):
+                raise ValueError(f"damaged payload {fields['WARC-Record-ID']}")
+            yield number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), kind, number(fields.get("WARC-Refers-To")), payload if kind == "response" else None
+
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for block in S.rows_of(found):
-                captures = sorted(read_block(*block), key=lambda c: (c[2], c[3]))
-                at = source = None
-                for _, _, file, offset, length, _ in captures:
-                    if file != at:
-                        store, path = S.filesystem(file)
-                        at, source = file, store.open_input_file(path)
-                    fields, http, payload = parse(source.read_at(length, offset))
-                    kind = fields["WARC-Type"]
-                    size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                    if kind == "response" and (size != len(payload) or fields["WARC-Payload-Digest"] != "sha1:" + payload_digest(payload)):
-                        raise ValueError(f"damaged payload {fields['WARC-Record-ID']}")
-                    yield number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), kind, number(fields.get("WARC-Refers-To")), payload if kind == "response" else None
+            at, keys = None, set()
+            for key, *block in S.rows_of(found):
+                if block != at:
+                    if at:
+                        yield from records(at, keys)
+                    at, keys = block, set()
+                keys.add(key)
+            if at:
+                yield from records(at, keys)
 
         yield from S.batches(rows(), schema)
 
-    n = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = directory.select("file", "offset", "length").repartition(n, "file", "offset")
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.select("urlkey", "file", "offset", "length").repartition(n, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: every page, as read back through the index."""
-    folder = S.scratch(spark, "warc")
-    directory = write_index(write_archives(S.table(spark, sf_dir, "pages"), folder), folder)
-    return read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Query: every page, looked up by its URL in the index and read back."""
+    folder, pages = S.scratch(spark, "warc"), S.table(spark, sf_dir, "pages")
+    index = write_index(write_archives(pages, folder), folder)
+    return read_archives(look_up(pages, index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

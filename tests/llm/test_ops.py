@@ -102,6 +102,18 @@ def test_tokens_equal_library():
     assert e.encode(None).tolist() == e.encode("").tolist() == [] and e.encode(None, 3).tolist() == [3]
 
 
+def test_documents_of_one_id_stay_within_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"{GOOD} {i}") for i in range(300)] + [(3, "### $$$ | " * 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    seen, real = [], quality_model.fit
+    quality_model.fit = lambda rows: seen.append(len(rows)) or real(rows, epochs=1)
+    try:
+        quality_model.train(docs, labels, sample=50)
+    finally:
+        quality_model.fit = real
+    assert seen == [50]
+
+
 def test_every_word_is_merged_as_by_the_library():
     """Random strings of the vocabulary's own pieces, where merges compete."""
     from tokenizers import Tokenizer
@@ -375,6 +387,23 @@ def test_rewritten_history_is_detected():
     assert [state.add(r, t)[3] for r, t in (("user", "a"), ("think", "b"), ("user", "c"))] == [False, False, True]
 
 
+def test_a_rewriting_template_gives_its_own_output(spark):
+    def thinking(turns):  # only the last thought is shown
+        return "<s>" + "".join(f"[{r}]{t if r != 'think' or k == len(turns) - 1 else ''}|" for k, (r, t) in enumerate(turns))
+
+    said = {1: [("user", "a"), ("think", "bb"), ("user", "c"), ("think", "dd")], 2: [("user", "x"), ("user", "y")], 3: [("user", f"n{i}") if i % 2 else ("think", f"n{i}") for i in range(80)]}
+    rows = [(c, i, r, t) for c, turns in said.items() for i, (r, t) in enumerate(turns)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), thinking).collect()
+    assert sorted(r.conv_id for r in got) == [1, 2, 3]
+    for r in got:
+        turns = said[r.conv_id]
+        assert r.formatted == thinking(turns) and len(r.spans) == len(turns)
+        assert any(s.rewrites for s in r.spans) == (r.conv_id != 2)
+        for i, (s, (role, text)) in enumerate(zip(r.spans, turns)):
+            shown = text if role != "think" or i == len(turns) - 1 else ""
+            assert r.formatted[s.text_begin : s.text_end] == shown and s.begin <= s.text_begin <= s.text_end <= s.end
+
+
 def test_op8(spark, odd):
     rows = spark.read.parquet(f"{odd}/pages.parquet").collect()
     keeper = defaultdict(list)
@@ -397,10 +426,38 @@ def test_index_lookup(spark, sf, tmp_path):
     for r in rows[::9]:
         found = {c[1] for c in directory.lookup(r.url)}
         assert found == {x.page_id for x in rows if warc.url_key(x.url) == warc.url_key(r.url)}
-    assert directory.lookup("http://nowhere.invalid/") == []
+    assert directory.lookup("http://nowhere.invalid/") == [] and directory.lookup("http://zz.zz/") == []
     assert warc.url_key("https://www.Ex.com:443/A?b=C") == "com,ex)/a?b=c"
 
 
+def test_a_url_of_many_blocks_and_files(spark, tmp_path):
+    rows = [(i, "http://hot.example/" if i % 3 else f"http://e{i % 40}.example/{i}", f"<p>{i}") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    folder = f"file://{tmp_path}"
+    index = warc.write_index(warc.write_archives(pages, folder), folder, block=8)
+    assert index.count() > 1
+    directory = warc.Directory.load(index)
+    assert len(directory.lookup("http://hot.example/")) == 400
+    for i, url, _ in rows[::30]:
+        assert {c[1] for c in directory.lookup(url)} == {p for p, u, _ in rows if u == url}
+    some = pages.filter("page_id % 7 = 0")
+    want = {u for i, u, _ in rows if i % 7 == 0}
+    got = warc.read_archives(warc.look_up(some, index)).collect()
+    assert sorted(r.page_id for r in got) == [i for i, u, _ in rows if u in want]
+    assert all(r.payload == rows[r.page_id][2].encode() for r in got)
+
+
+def test_a_second_attempt_leaves_the_first_ones_files(spark, tmp_path):
+    """Archives of two runs in one folder: each run's captures name its own files."""
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", f"<p>{i}") for i in range(50)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}"
+    first = [tuple(r) for r in warc.write_archives(pages, folder).collect()]
+    second = [tuple(r) for r in warc.write_archives(pages.filter("page_id % 2 = 0"), folder).collect()]
+    assert not {r[2] for r in first} & {r[2] for r in second}
+    for _, page_id, file, offset, length, _ in first:
+        assert warc.parse(warc.read_range(file, offset, length))[2] == f"<p>{page_id}".encode()
+
+
 def test_op9(spark, odd):
     begin, rest = map(set, token_counts.vocabulary(tokens.default_path()))
 
