@@ -3,8 +3,10 @@
 A template is any function from a list of (role, text) turns to a string.  It is
 rendered over successive prefixes of a conversation and consecutive outputs are
 compared: what the output grows by is the new turn's span, and a template whose
-output for k turns is no prefix of that for k + 1 rewrites history.  Where it
-does, the turn is marked ``rewrites`` and its span begins where the outputs part.
+output for k turns is no prefix of that for k + 1 rewrites history.  The turn where it
+does is marked ``rewrites``, and the conversation's output is the template's own for all
+turns: each turn's span and text are then found again in that, by comparing it with the
+outputs of the prefixes and with those for another text.
 The text's place in a turn is found by rendering the turn once more with an empty
 text: what both share before and after is the template's, the rest the text's.
 
@@ -111,11 +113,30 @@ class Incremental:
         return grown, begin, max(begin, end), rewrites
 
 
+def relocated(render: Template, turns: list[tuple[str, str]]) -> list[tuple[int, int, int, int]]:
+    """(begin, end, text's begin and end) of each turn in the output for all turns.
+
+    A turn ends where the output for the turns up to it stops being a prefix; a text
+    that the output for all turns does not hold has an empty place."""
+    full, at, out = render(turns), _common(render([]), render(turns)), []
+    for i, (role, _) in enumerate(turns):
+        end = len(full) if i == len(turns) - 1 else max(at, _common(render(turns[: i + 1]), full))
+        probe = render([*turns[:i], (role, "\x01"), *turns[i + 1 :]])
+        if "\x01" in probe:
+            begin, stop = probe.index("\x01"), len(full) - (len(probe) - probe.rindex("\x01") - 1)
+            out.append((min(at, begin), max(end, stop), begin, max(begin, stop)))
+        else:
+            out.append((at, end, end, end))
+        at = out[-1][1]
+    return out
+
+
 _OUT = "conv_id long, block long, formatted string, spans array<struct<role:string,begin:long,end:long,text_begin:long,text_end:long,rewrites:boolean>>"
 
 
 def format_chats(rows: DataFrame, render: Template = default_template) -> DataFrame:
-    """conv_id, block, formatted, spans: a conversation's output in blocks of turns.
+    """conv_id, block, formatted, spans: a conversation's output; in blocks of turns
+    for a prefix-local template.
 
     Spans count code points from the block's begin.  Conversations are dealt out
     by id and streamed in turn order: a task holds a bounded part of one, or all of
@@ -127,12 +148,21 @@ def format_chats(rows: DataFrame, render: Template = default_template) -> DataFr
     schema = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(span))])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ended(at: tuple, state: Incremental, block: int, parts: list[str], spans: list[dict]) -> tuple:
+            if any(s["rewrites"] for s in spans):  # never of a prefix-local template, whose blocks are parts
+                for s, (begin, end, text_begin, text_end) in zip(spans, relocated(render, state.turns)):
+                    s.update(begin=begin, end=end, text_begin=text_begin, text_end=text_end)
+                return *at, block, state.output, spans
+            return *at, block, "".join(parts), spans
+
+        local = getattr(render, "prefix_local", False)
+
         def blocks():
             at, state, block, parts, spans, size = (), None, 0, [], [], 0
             for conv, role, text in S.rows_of(found):
-                if (conv,) != at or len(spans) == BLOCK:
+                if (conv,) != at or local and len(spans) == BLOCK:
                     if spans:
-                        yield *at, block, "".join(parts), spans
+                        yield ended(at, state, block, parts, spans)
                     new = (conv,) != at
                     at, state, block = (conv,), Incremental(render) if new else state, 0 if new else block + 1
                     parts, spans = [state.preamble] if new else [], []
@@ -143,7 +173,7 @@ def format_chats(rows: DataFrame, render: Template = default_template) -> DataFr
                 parts.append(grown)
                 size += len(grown)
             if spans:
-                yield *at, block, "".join(parts), spans
+                yield ended(at, state, block, parts, spans)
 
         yield from S.batches(blocks(), schema, size=256)
 
