@@ -15,6 +15,7 @@ repeated ids are counted by row; no rows give no rows; other columns are passed
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
@@ -124,25 +125,27 @@ class Automaton:
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_tokens, n_unknown of each row, in one map over the texts."""
-    pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # of the vocabulary's size
+    found_pieces = vocabulary(path)
+    name = hashlib.sha256(repr(found_pieces).encode()).hexdigest()
+    pieces = docs.sparkSession.sparkContext.broadcast(found_pieces)  # of the vocabulary's size
     schema = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64())])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(pieces)
+        automaton = _automaton(name, pieces)
         yield from S.batches(((k, *automaton.text(t)) for k, t in S.rows_of(found)), schema)
 
     return S.columns(docs, **{key: "long", text: "string"}).mapInArrow(run, "key long, n_words long, n_tokens long, n_unknown long")
 
 
-_BUILT: dict[int, Automaton] = {}
+_BUILT: dict[str, Automaton] = {}
 
 
-def _automaton(pieces) -> Automaton:
-    """One automaton a Python worker and broadcast vocabulary."""
-    if pieces.value and id(pieces.value) not in _BUILT:
+def _automaton(name: str, pieces) -> Automaton:
+    """One automaton a Python worker; ``name`` tells vocabularies apart by what they hold."""
+    if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[id(pieces.value)] = Automaton(*pieces.value)
-    return _BUILT[id(pieces.value)]
+        _BUILT[name] = Automaton(*pieces.value)
+    return _BUILT[name]
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
