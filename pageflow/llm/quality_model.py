@@ -10,7 +10,8 @@ Training reads a bounded, hash-chosen sample of labelled rows (``SAMPLE``), as
 features gathered by the executors; every text is scored whole, in one map.
 
 Defined results: null and empty texts are scored by their statistics alone;
-repeated labels of a document count each; null labels are left out; without any
+repeated labels of a document count each, as do repeated documents of a label, within
+``SAMPLE`` rows; null labels are left out; without any
 label, or with labels of one kind, the score is that share of ones (0.5 with
 none).  Null ids are scored.  Other columns are passed by.
 """
@@ -143,7 +144,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         yield from S.batches(((*(x.tobytes() for x in features(text)), y) for text, y in S.rows_of(found)), schema)
 
     # ``picked`` has ``sample`` rows of two numbers at most: a bounded broadcast.
-    rows = S.columns(docs, doc_id="long", text="string").join(F.broadcast(picked), "doc_id").select("text", "quality").mapInArrow(run, "places binary, values binary, stats binary, quality int").collect()
+    taught = S.columns(docs, doc_id="long", text="string").join(F.broadcast(picked), "doc_id")
+    # Documents that share a labelled id are more rows: a hash of the text picks among them.
+    taught = taught.orderBy(order, F.xxhash64("text"), "quality").limit(sample)
+    rows = taught.select("text", "quality").mapInArrow(run, "places binary, values binary, stats binary, quality int").collect()
     held = [(np.frombuffer(r.places, np.int32), np.frombuffer(r["values"], np.float32), np.frombuffer(r.stats, np.float32), r.quality) for r in rows]
     return fit(sorted(held, key=lambda r: (r[3], r[0].tobytes(), r[2].tobytes())))
 
