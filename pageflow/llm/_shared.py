@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = getattr(context, "_pageflow_root", None)
         if root is None:
-            if not context.master.startswith("local["):
+            if context.master.split("[")[0] != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = context._pageflow_root = "file://" + tempfile.mkdtemp(prefix="pageflow-")
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -40,18 +41,34 @@ def unswept(spark: SparkSession, name: str) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """The same for one run of one operator; sweep() removes it."""
-    context = spark.sparkContext
-    context._pageflow_scratch = [*getattr(context, "_pageflow_scratch", []), path := unswept(spark, name)]
+    """The same for one run of one operator, which sweep() removes; its result may be read from there."""
+    path = unswept(spark, name)
+    made = getattr(spark.sparkContext, "_pageflow_scratch", None)
+    if made is None:
+        made = spark.sparkContext._pageflow_scratch = {}
+    made.setdefault(_OWNER[-1], []).append(path)
     return path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Removes the scratch folders made so far; their results must be written by now."""
-    context = spark.sparkContext
-    for path in getattr(context, "_pageflow_scratch", []):
+_OWNER: list[str | None] = [None]
+
+
+@contextmanager
+def owned(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Removes the owner's earlier scratch folders, whose results must be written by now,
+    and makes it the owner of those made inside.  Others' are left alone."""
+    sweep(spark, owner)
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
+def sweep(spark: SparkSession, owner: str | None = None) -> None:
+    """Removes the scratch folders made by an owner so far (None: by queries run alone)."""
+    for path in getattr(spark.sparkContext, "_pageflow_scratch", {}).pop(owner, []):
         drop(spark, path)
-    context._pageflow_scratch = []
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -14,10 +14,9 @@ pivots is measured on the full sets of actual shingles; that confirms links and
 makes components.  In a bucket that still spans components, members whose
 distances to the pivot differ by more than a link's can't be linked (Jaccard
 distance is a metric): members are put in overlapping cells by distance, cells of
-one component are done with, and so are members with fewer than ``TABLES`` open
-tables, as a linked pair meets in that many but for one in 10,000 at the limit.
-What is left meets by half-key, in blocks of bounded size, where all intersections
-are counted by one matrix product; pairs that reach the limit are confirmed.
+one component are done with.  What is left meets by half-key, in blocks of bounded
+size, where all intersections are counted by one matrix product; pairs that reach the
+limit are confirmed.
 Components come from alternating large and small stars.  All is joins and
 aggregates over ids, cut by written tables; a hot key is split by the optimiser.
 
@@ -42,8 +41,8 @@ from . import _shared as S
 WIDTH, PERCENT = 2, 80
 #: Half-keys of a collection, and minhashes of a half-key.
 HALF, ROWS = 12, 3
-#: Open tables of a member that may still be linked; members of a block.
-TABLES, GROUP = 3, 1024
+#: Members of a block, and shingles of a block (on average of its group's blocks).
+GROUP, BLOCK_SHINGLES = 1024, 1 << 21
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,10 +161,13 @@ class Linker:
         right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
         both = left.join(right.hint("merge"), "v").select("u", "v", "text_u", "text_v")
         found = self.save(both.mapInArrow(_confirm(self.width, self.percent), "u long, v long, distance double, link boolean"), "measured")
-        links = found.filter("link").select("u", "v")
+        self.add(found.filter("link").select("u", "v"))
+        return found
+
+    def add(self, links: DataFrame) -> None:
+        """Makes the components anew with more links (u, v)."""
         self.links = links if self.links is None else self.links.unionByName(links)
         self.labels = self.components(self.links)
-        return found
 
     def components(self, links: DataFrame) -> DataFrame:
         """(node, label): every linked node's smallest reachable node."""
@@ -209,12 +211,9 @@ def across(members: DataFrame, measured: DataFrame, linker: Linker, percent: int
     most = F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0)))
     cells = held.select("key", "node", "n", "label", F.floor(least / step).cast("int").alias("first"), (F.floor(most / step) + 1).cast("int").alias("last"))
     cells = linker.save(cells, "cells").withColumn("cell", F.explode(F.sequence("first", "last")))
-    for _ in range(2):  # a cell of one component is done with; then so are members of few tables
-        mixed = cells.groupBy("key", "cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "cell")
-        cells = cells.join(mixed.hint("merge"), ["key", "cell"], "left_semi")
-        enough = cells.select("node", "key").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("tables")).filter(F.col("tables") >= TABLES).select("node")
-        cells = linker.save(cells.join(enough.hint("merge"), "node", "left_semi"), "cells")
-    return cells.select("node", "label").distinct()
+    # A cell of one component is done with.
+    mixed = cells.groupBy("key", "cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "cell")
+    return cells.join(mixed.hint("merge"), ["key", "cell"], "left_semi").select("node", "label").distinct()
 
 
 def _block_pairs(half: int, percent: int):
@@ -289,14 +288,16 @@ def _sets(width: int, half: int, rows: int):
 def in_blocks(open_: DataFrame, texts: DataFrame, linker: Linker, half: int, rows: int) -> DataFrame:
     """Pairs (u, v) of open members (node, label) that share a table and may be links.
 
-    Members meet by the half-keys of one collection, in blocks of ``GROUP`` at most:
-    a larger group's blocks are dealt out two by two.  Tasks hold two blocks."""
+    Members meet by the half-keys of one collection, in blocks of about ``GROUP`` members
+    and ``BLOCK_SHINGLES`` shingles at most: a larger group's blocks are dealt out two by
+    two.  Tasks hold two blocks."""
     named = open_.select(F.col("node").alias("_node"))
     own = texts.join(named.hint("merge"), texts.doc_id == named["_node"], "left_semi").select("doc_id", "text")
     sets = linker.save(own.mapInArrow(_sets(linker.width, half, rows), "node long, keys array<long>, short binary, members binary"), "sets")
-    places = sets.join(open_.hint("merge"), "node").select("node", "label", F.posexplode("keys").alias("i", "x")).select("node", "label", "i", F.xxhash64("i", "x").alias("key"))
-    mixed = places.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks"))
-    held = places.join(mixed.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    size = (F.octet_length("members") / 4).alias("n")
+    places = sets.select("node", "keys", size).join(open_.hint("merge"), "node").select("node", "label", "n", F.posexplode("keys").alias("i", "x")).select("node", "label", "n", "i", F.xxhash64("i", "x").alias("key"))
+    mixed = places.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("lo <> hi").select("key", F.ceil(F.greatest(F.col("size") / GROUP, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    held = places.drop("n").join(mixed.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     # A group of one block is a pair (0, 0) of side -1; else block b goes to all pairs (b, other).
     held = held.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     held = held.select("node", "label", "key", "i", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.when(F.col("block") < F.col("other"), 0).otherwise(1)).alias("side"))
@@ -337,6 +338,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     if pairs.limit(1).count():
         ends = pairs.select(F.col("u").alias("end")).union(pairs.select(F.col("v").alias("end"))).distinct()
         linker.confirm(pairs, texts.join(ends.hint("merge"), texts.doc_id == ends.end, "left_semi"))
+    # Rows of one id are one document: the nodes of its texts are linked.
+    own = named.select("doc_id", "digest").distinct()
+    several = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("doc_id")
+    if several.limit(1).count():
+        met = own.join(several.hint("merge"), "doc_id", "left_semi").join(nodes.select("digest", "node").hint("merge"), "digest")
+        linker.add(met.select(F.col("node").alias("u"), F.col("doc_id").alias("v")))
     labels = S.saved(linker.labelled(nodes.select("digest", "node"), "node", "component_id").select("digest", "component_id"), f"{folder}/labels")
     for name in ("members", "texts", "nodes"):
         S.drop(spark, f"{folder}/{name}")
@@ -346,9 +353,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """Pipeline stage: one document of each group, with its own columns."""
-    gone = S.saved(near_duplicates(docs, width, percent).filter(~F.col("kept")).select("doc_id").distinct(), S.scratch(docs.sparkSession, "gone"))
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """Pipeline stage: one row of each group of near copies (shingles of five words), with
+    its own columns: that of the smallest id, null ids last.
+
+    Rows are judged, not ids: equal rows are copies of each other, and rows of one id
+    with texts of their own stay.  Rows without words stay all."""
+    spark = docs.sparkSession
+    folder, row = S.scratch(spark, "rows"), "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    numbered = S.saved(docs.withColumn(row, F.monotonically_increasing_id()), f"{folder}/numbered")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("row"), "component_id")
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    held = S.saved(found.join(ids.hint("merge"), "row"), f"{folder}/components")
+    first = held.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = S.saved(held.join(first.select("component_id", F.col("first.row").alias("stays")).hint("merge"), "component_id").filter("row <> stays").select("row"), f"{folder}/gone")
+    return numbered.join(gone, numbered[row] == gone["row"], "left_anti").drop(row)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -585,7 +585,29 @@ def test_leaks_go_by_their_own_text(spark, odd):
 
 
 def test_keep_one_bears_clashing_names(spark):
-    docs = spark.createDataFrame([("x", 2, GOOD), ("y", 1, GOOD), ("z", 3, "one two three four five six"), ("n", None, GOOD)], "_gone string, doc_id long, text string")
+    docs = spark.createDataFrame([("x", 2, GOOD, 1), ("y", 1, GOOD, 2), ("z", 3, "one two three four five six", 3), ("n", None, GOOD, 4)], "_gone string, doc_id long, text string, _row int")
     found = near_dup.keep_one(docs)
     assert found.columns == docs.columns
-    assert sorted(r._gone for r in found.collect()) == ["n", "y", "z"]
+    assert sorted(r._gone for r in found.collect()) == ["y", "z"]  # a null id is a row like any, the last to stay
+
+
+def test_keep_one_judges_rows(spark):
+    other = " ".join(f"other{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, GOOD), (1, GOOD), (2, GOOD), (2, other), (None, GOOD), (None, other), (None, "six words that are never repeated"), (5, None), (6, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in near_dup.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, GOOD), (2, other), (None, "six words that are never repeated"), (5, None), (6, "")], key=str)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """Id 5 has two texts; 3 is a copy of the one, 9 of the other."""
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(5, GOOD), (5, other), (3, GOOD), (9, other), (8, "alone in the world")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 3), (3, 3), (9, 3), (8, 8)}
+
+
+def test_pipeline_stages_leave_others_scratch_alone(spark, sf):
+    made = Q["op2_token_output"](spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = corpus_pipeline.near_duplicates(spark, docs, sf).count()
+    assert made.count() == docs.count() >= first > 0
