@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sinks, sources
-from .operators import pages, review
+from .operators import jobs, pages, review
 
 
 def job(spark: SparkSession, tokens_path: str, width: int, height: int, source: str, min_confidence: float = 0.7) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         pairs = sources.read_pairs(spark, a.pairs)
         if a.command == "apply-pair-feedback":
             done = review.apply_pair_feedback(pairs.withColumnRenamed("caption_text", "caption"), sources.read_feedback(spark, a.feedback)).withColumnRenamed("caption", "caption_text")
-            sinks.write_pairs(pairs.drop("caption_text", "status", "reasons").join(done, "pair_id"), a.out)
+            sinks.write_pairs(done, a.out)
         elif a.command == "build-flashcards":
             kept = pairs.filter(F.coalesce(F.col("status") != "rejected", F.lit(True)))
             pages.reverse_cards(kept.withColumnRenamed("caption_text", "caption")).write.mode("overwrite").json(a.out)
@@ -73,8 +73,11 @@ def main(argv: list[str] | None = None) -> int:
         n = sinks.export_csv(cards, a.out) if a.format == "csv" else sinks.export_apkg(cards, a.out, "pageflow")
         print(n)
     elif a.command == "apply-review":
-        done = review.apply_card_feedback(cards, sources.read_feedback(spark, a.feedback))
-        cards.drop("word", "status", "needs_review").join(done, "card_id").write.mode("overwrite").json(f"{a.out}/result")
+        said = sources.read_feedback(spark, a.feedback)
+        queue = spark.read.schema(sources.QUEUE).json(f"{a.job_dir}/review_queue")
+        metrics = spark.read.json(f"{a.job_dir}/metrics")
+        sinks.write_job(review.apply_card_feedback(cards, said), jobs.open_queue(queue, review.last_cards(cards), said), metrics, a.out)
+        print(jobs.feedback_counters(review.last_cards(cards), said).first().asDict())
     elif a.command == "review-ui":
         sinks.review_page(spark.read.schema(sources.QUEUE).json(f"{a.job_dir}/review_queue"), a.out)
     else:

@@ -72,6 +72,17 @@ def overlaps(a: Column, b: Column) -> Column:
     return (b["x0"] < a["x1"]) & (b["x1"] > a["x0"]) & (b["y0"] < a["y1"]) & (b["y1"] > a["y0"])
 
 
+def polygon_box(points: Column) -> Column:
+    """The box around an array of [x, y] points, cut to whole numbers."""
+    at = lambda i: F.transform(points, lambda p: F.get(p, F.lit(i)))
+    return box(*(f(at(i)).cast("int") for f, i in ((F.array_min, 0), (F.array_min, 1), (F.array_max, 0), (F.array_max, 1))))
+
+
+def covered(new: Column, old: Column) -> Column:
+    """The share of a new box that an old one covers."""
+    return F.when(area(new) > 0, intersection(new, old) / area(new)).otherwise(0.0)
+
+
 def distance(a: Column, b: Column) -> Column:
     dx, dy = center_x(a) - center_x(b), center_y(a) - center_y(b)
     return F.sqrt(dx * dx + dy * dy)

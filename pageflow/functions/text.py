@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 #: Curly quotes and dashes with their ASCII forms (fixed values).
 CURLY, STRAIGHT = "‘’“”–—", "''\"\"--"
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normalize(text: Column, lower: bool = True) -> Column:
     out = F.translate(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), CURLY, STRAIGHT)
     return F.lower(out) if lower else out
@@ -94,8 +99,29 @@ def error_category(message: Column) -> Column:
 
 def path_problem(path: Column) -> Column:
     """Why a path is no safe path inside a job; null if it is one."""
-    p = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
-    return F.when(F.trim(p) == "", "empty").when(p.startswith("/") | p.rlike("^[A-Za-z]:"), "absolute").when(F.array_contains(F.split(p, "/"), ".."), "parent")
+    p = strip(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")))
+    return F.when(p == "", "empty").when(p.startswith("/") | p.rlike("^[A-Za-z]:"), "absolute").when(F.array_contains(F.split(p, "/"), ".."), "parent")
+
+
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def html_unescape(text: Column) -> Column:
+    """The entities that html_escape() makes, and the decimal quote."""
+    for a, b in _ENTITIES:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def token_index_in(path: Column) -> Column:
+    """The number in ``token_0012_``; a billion where there is none."""
+    return F.coalesce(F.regexp_extract(path, r"token_(\d{4})_", 1).try_cast("int"), F.lit(1_000_000_000))
+
+
+def picture_path(path: Column, job_dir: str) -> Column:
+    """A picture's path relative to its job: the job's own folder is taken off."""
+    p, root = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), job_dir.rstrip("/") + "/"
+    return F.when(p.startswith(root), F.substr(p, F.lit(len(root) + 1))).otherwise(p)
 
 
 def page_number(page_id: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom, text
+from .review import judged
 
 
 def crop_stats(cropped: DataFrame) -> DataFrame:
@@ -33,34 +34,12 @@ def error_buckets(errors: DataFrame) -> DataFrame:
     return counted.select("category", "n", (place - 1).cast("int").alias("place"))
 
 
-def _judged(cards: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Known feedback rows with whether they are valid, before a reject, and effective.
-
-    The word that an edit is compared with is the last valid edit's before it: one
-    that changed nothing left the same word."""
-    state = cards.select("card_id", "word", F.col("status").alias("_status"), F.col("needs_review").alias("_review"))
-    f = feedback.filter(F.col("action").isin("approve", "reject", "edit")).join(state, "card_id")
-    by_card = Window.partitionBy("card_id")
-    f = f.withColumn("rejected_at", F.min(F.when(F.col("action") == "reject", F.col("ord"))).over(by_card))
-    said = F.trim(F.coalesce("edited_text", F.lit("")))
-    live = (F.col("_status") != "rejected") & F.coalesce(F.col("ord") < F.col("rejected_at"), F.lit(True))
-    valid = live & ((F.col("action") == "approve") | ((F.col("action") == "edit") & (said != "")))
-    f = f.withColumn("live", live).withColumn("valid", valid).withColumn("said", F.when((F.col("action") == "edit") & valid, said))
-    before = by_card.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.max(F.col("valid").cast("int")).over(before), F.lit(0)) == 1
-    clean = seen | ((F.col("_status") == "active") & ~F.col("_review"))
-    current = F.coalesce(F.last("said", ignorenulls=True).over(before), "word")
-    changed = (F.col("action") == "edit") & (F.col("said") != current)
-    return f.withColumn("effective", F.col("valid") & F.coalesce(~clean | changed, F.lit(False)))
-
-
 def feedback_counters(cards: DataFrame, feedback: DataFrame) -> DataFrame:
     """One row: items, applied, of unknown cards, already applied (feedback as in the fold).
 
     Rows of unknown actions count as items alone."""
-    j = _judged(cards, feedback)
-    first = (F.col("action") == "reject") & (F.col("_status") != "rejected") & (F.col("ord") == F.col("rejected_at"))
-    done = j.agg(F.count_if(F.col("effective") | first).alias("applied"), F.count(F.lit(1)).alias("known"))
+    j = judged(cards, feedback)
+    done = j.agg(F.count_if(F.col("effective") | F.col("rejects")).alias("applied"), F.count(F.lit(1)).alias("known"))
     items = feedback.agg(F.count(F.lit(1)).alias("feedback_items"))
     unknown = feedback.join(cards.select("card_id"), "card_id", "left_anti").agg(F.count(F.lit(1)).alias("skipped_unknown_card"))
     one = items.crossJoin(unknown).crossJoin(done)  # rows of totals
@@ -69,7 +48,7 @@ def feedback_counters(cards: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def open_queue(queue: DataFrame, cards: DataFrame, feedback: DataFrame) -> DataFrame:
     """Review rows that feedback leaves: an invalid edit of a live card doesn't resolve it."""
-    resolved = _judged(cards, feedback).filter((F.col("action") == "reject") | F.col("valid") | ~F.col("live"))
+    resolved = judged(cards, feedback).filter((F.col("action") == "reject") | F.col("valid") | ~F.col("live"))
     return queue.join(resolved.select("card_id"), "card_id", "left_anti")
 
 

@@ -97,10 +97,71 @@ def reading_order(panels: DataFrame, height: int) -> DataFrame:
     return pages.select("page_id", F.posexplode(sorted_).alias("reading_index", "p")).select("page_id", "reading_index", F.col("p.ord").alias("ord"), F.col("p.row").alias("row"))
 
 
-def grid_cells(lines: DataFrame, least: int = 50) -> DataFrame:
+def bordered(lines: DataFrame, pages: DataFrame, reach: int = 50) -> DataFrame:
+    """Lines (page_id, axis, line) with the page's borders (page_id, width, height) where
+    no line lies within ``reach`` of them; a page without lines has its borders alone."""
+    size = pages.select("page_id", F.explode(F.map_from_arrays(F.array(F.lit("h"), F.lit("v")), F.array("height", "width"))).alias("axis", "size"))
+    ends = lines.groupBy("page_id", "axis").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
+    t = size.join(ends, ["page_id", "axis"], "left")
+    first, last = F.coalesce(F.col("lo") > reach, F.lit(True)), F.coalesce(F.col("hi") < F.col("size") - reach, F.lit(True))
+    more = t.select("page_id", "axis", F.explode(F.array_compact(F.array(F.when(first, 0), F.when(last, F.col("size"))))).alias("line"))
+    return lines.select("page_id", "axis", F.col("line").cast("int")).unionByName(more.withColumn("line", F.col("line").cast("int")))
+
+
+#: Columns and rows of usual pages, tried in this order (fixed values).
+TEMPLATES = ((2, 3), (2, 4), (3, 3), (3, 4), (4, 3), (2, 5), (2, 6))
+
+
+def template_cells(pages: DataFrame, least: int = 50) -> DataFrame:
+    """Cells of the template with most cells whose cells are wide and high enough (the
+    first on ties), of pages (page_id, width, height); the whole page where none is."""
+    grids = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("cols"), F.lit(r).alias("rows")) for i, (c, r) in enumerate(TEMPLATES)))
+    fits = F.filter(grids, lambda g: (F.floor(F.col("width") / g["cols"]) >= least) & (F.floor(F.col("height") / g["rows"]) >= least))
+    ranked = F.transform(fits, lambda g: F.struct((-g["cols"] * g["rows"]).alias("cells"), g["i"].alias("i"), g["cols"].alias("cols"), g["rows"].alias("rows")))
+    t = pages.withColumn("g", F.array_min(ranked)).withColumn("cols", F.coalesce("g.cols", F.lit(1))).withColumn("rows", F.coalesce("g.rows", F.lit(1)))
+    t = t.withColumn("w", F.floor(F.col("width") / F.col("cols")).cast("int")).withColumn("h", F.floor(F.col("height") / F.col("rows")).cast("int"))
+    t = t.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
+    end = lambda i, size, most: F.least((F.col(i) + 1) * F.col(size), F.col(most)).cast("int")
+    return t.select("page_id", (F.col("col") * F.col("w")).cast("int").alias("x0"), (F.col("row") * F.col("h")).cast("int").alias("y0"), end("col", "w", "width").alias("x1"), end("row", "h", "height").alias("y1"))
+
+
+def placeholder_texts(pages: DataFrame) -> DataFrame:
+    """Text blocks where captions usually are, of pages (page_id, width, height): the last
+    30 % of each cell of an estimated grid, with a name for a text and a low confidence."""
+    cells = lambda size, most: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col(size) / 300))).cast("int")
+    t = pages.withColumn("cols", cells("width", 4)).withColumn("rows", cells("height", 6))
+    t = t.withColumn("w", F.floor(F.col("width") / F.col("cols")).cast("int")).withColumn("h", F.floor(F.col("height") / F.col("rows")).cast("int"))
+    t = t.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
+    x0, y0 = F.col("col") * F.col("w") + 10, F.col("row") * F.col("h") + (F.col("h") * 0.7).cast("int")
+    x1, y1 = (F.col("col") + 1) * F.col("w") - 10, (F.col("row") + 1) * F.col("h") - 10
+    t = t.select("page_id", (F.col("row") * F.col("cols") + F.col("col")).cast("long").alias("ord"), F.concat(F.lit("[cell_"), "row", F.lit("_"), "col", F.lit("]")).alias("text"), F.lit(0.3).alias("confidence"), geom.box(x0, y0, x1, y1).alias("box"))
+    return t.filter((geom.width(F.col("box")) >= 50) & (geom.height(F.col("box")) >= 20))
+
+
+def without_repeats(boxes: DataFrame, most: float = 0.5) -> DataFrame:
+    """Boxes (page_id, ord, box) that no earlier kept one covers by more than ``most``."""
+    pages = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "box"))).alias("items"))
+    kept = F.aggregate("items", F.slice("items", 1, 0), lambda acc, b: F.when(F.exists(acc, lambda k: geom.covered(b["box"], k["box"]) > most), acc).otherwise(F.array_append(acc, b)))
+    return pages.select("page_id", F.explode(kept).alias("k")).select("page_id", "k.ord", "k.box")
+
+
+def rows_by_gap(boxes: DataFrame, gap: int) -> DataFrame:
+    """Numbers rows of boxes (page_id, ord, box): a new one where the top is ``gap`` or more below the last's."""
+    w = Window.partitionBy("page_id").orderBy("y", "ord")
+    t = boxes.withColumn("y", F.col("box.y0"))
+    return islands(t, ["page_id"], ["y", "ord"], F.col("y") - F.lag("y").over(w) >= gap, "row").drop("y")
+
+
+def grid_cells(lines: DataFrame, least: int = 50, least_area: int = 5000) -> DataFrame:
     """Cells between consecutive lines (page_id, axis 'h' or 'v', line); small ones dropped."""
     w = Window.partitionBy("page_id", "axis").orderBy("line")
     spans = lines.withColumn("next", F.lead("line").over(w)).filter(F.col("next") - F.col("line") >= least)
     h = spans.filter("axis = 'h'").select("page_id", F.col("line").alias("y0"), F.col("next").alias("y1"))
     v = spans.filter("axis = 'v'").select("page_id", F.col("line").alias("x0"), F.col("next").alias("x1"))
-    return h.join(v, "page_id").select("page_id", "x0", "y0", "x1", "y1")
+    big = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= least_area
+    return h.join(v, "page_id").filter(big).select("page_id", "x0", "y0", "x1", "y1")
+
+
+def grid_size(cells: DataFrame) -> DataFrame:
+    """Rows and columns of each page's grid: distinct tops and left sides."""
+    return cells.groupBy("page_id").agg(F.countDistinct("y0").alias("grid_rows"), F.countDistinct("x0").alias("grid_cols"), F.count(F.lit(1)).alias("items_detected"))

@@ -127,5 +127,25 @@ def content_bands(flags: DataFrame, least: int) -> DataFrame:
     return bands.filter(F.col("last") - F.col("first") + 1 > least).select("key", "first", "last")
 
 
+def profile_peaks(values: DataFrame, gap: int = 50, share: float = 0.9) -> DataFrame:
+    """Lines (key, line) where a profile (key, i, value) is over its 90th percentile; places
+    less than ``gap`` from the last are one line, at their mean."""
+    limit = values.groupBy("key").agg(F.percentile("value", F.lit(share)).alias("limit"))
+    w = Window.partitionBy("key").orderBy("i")
+    high = values.join(limit, "key").filter(F.col("value") > F.col("limit"))
+    high = high.withColumn("_new", F.when(F.col("i") - F.lag("i").over(w) >= gap, 1).otherwise(0)).withColumn("grp", F.sum("_new").over(w))
+    return high.groupBy("key", "grp").agg(F.avg("i").cast("int").alias("line")).select("key", "line")
+
+
+def foreground_share(values: DataFrame, background: int = 188, step: int = 25) -> DataFrame:
+    """Per cent of values (key, value) that differ from the background by more than a step."""
+    return values.groupBy("key").agg(F.round(100.0 * F.count_if(F.abs(F.col("value") - background) > step) / F.count(F.lit(1)), 6).alias("foreground"))
+
+
+def top_values(values: DataFrame, most: int = 5) -> DataFrame:
+    """The most frequent values, the largest first on ties: a report."""
+    return values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("value")).limit(most)
+
+
 def histogram(values: DataFrame, bins: int = 10, most: int = 256) -> DataFrame:
     return values.groupBy(F.floor(F.col("value") * bins / most).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -11,9 +11,8 @@ from ..functions import geom, ids, text
 from ..operators import assembly, matching, pages, pixels, review
 from . import adapters as A
 
-#: Cap that the test tables exercise (pages have at most a dozen tokens).
-CAP = 6
-_CLEAN = pages.CleanOptions(**{**vars(pages.CONFIGURED), "max_tokens": CAP})
+CAP = pages.CONFIGURED.max_tokens
+_CLEAN = pages.CONFIGURED
 WIDTH, HEIGHT = 1200, 1400
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -126,7 +125,8 @@ def stable_ints(spark, sf):
 
 @query(f"""WITH c AS ({A.CARDS}) SELECT card_id, CASE WHEN front_image_path = '' THEN 'empty' WHEN front_image_path LIKE '/%' THEN 'absolute' WHEN list_contains(string_split(front_image_path, '/'), '..') THEN 'parent' END AS problem FROM c""")
 def path_safety(spark, sf):
-    return A.cards(spark, sf).select("card_id", text.path_problem(F.col("front_image_path")).alias("problem"))
+    spaced = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" \t"), "front_image_path", F.lit("\n"))).otherwise(F.col("front_image_path"))
+    return A.cards(spark, sf).select("card_id", text.path_problem(spaced).alias("problem"))
 
 
 @query("""SELECT CAST(page_id AS BIGINT) AS page_id, CASE WHEN title LIKE '%apkg%' THEN 'APKG' WHEN title LIKE '%unsafe%' THEN 'SECURITY' WHEN title LIKE '%determin%' THEN 'DETERMINISM' ELSE 'CONTRACT' END AS category
@@ -170,23 +170,43 @@ def iou_anti_join(spark, sf):
     return matching.without_overlap(*_boxes(spark, sf)).select("page_id", "ord")
 
 
-@query()
+#: Folds over a page's boxes as recursive SQL: the k-th box meets the state that the boxes before it left.
+_NMS = """b AS (SELECT page_id, ord, confidence, x0, y0, x1, y1, row_number() OVER (PARTITION BY page_id ORDER BY -confidence, ord) AS k FROM tok),
+  f AS (SELECT page_id, k, [{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'ord': ord}] AS kept FROM b WHERE k = 1
+    UNION ALL SELECT b.page_id, b.k, CASE WHEN len(list_filter(f.kept, lambda a: greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) >
+        0.3 * ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))))) > 0
+      THEN f.kept ELSE list_append(f.kept, {'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1, 'ord': b.ord}) END FROM f JOIN b ON b.page_id = f.page_id AND b.k = f.k + 1),
+  z AS (SELECT page_id, unnest(kept).ord AS ord FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY k DESC) = 1)"""
+
+
+@query(f"{_BOXES.replace('WITH', 'WITH RECURSIVE', 1)}, {_NMS} SELECT page_id, ord, confidence FROM z JOIN b USING (page_id, ord)")
 def nms_fold(spark, sf):
     return matching.suppress(A.tokens(spark, sf)).select("page_id", "ord", "confidence")
 
 
-@query()
+def _greedy(score: str, rest: str = "") -> str:
+    """Each picture in order takes the first free text of its candidates, best score first."""
+    return f"""{_BOXES.replace('WITH', 'WITH RECURSIVE', 1)}, m AS (SELECT p.page_id, p.ord AS picture, t.ord AS text, sqrt(pow((p.x0 + p.x1) / 2 - (t.x0 + t.x1) / 2, 2) + pow((p.y0 + p.y1) / 2 - (t.y0 + t.y1) / 2, 2)) AS d,
+    (p.x0 + p.x1) / 2 AS px, (t.x0 + t.x1) / 2 AS tx, (p.y0 + p.y1) / 2 AS py, (t.y0 + t.y1) / 2 AS ty, p.x1 - p.x0 AS pw, t.x1 - t.x0 AS tw, least(p.x1, t.x1) - greatest(p.x0, t.x0) AS across FROM pic p JOIN txt t ON p.page_id = t.page_id),
+  s AS (SELECT page_id, picture, text, {score} AS s FROM m), c AS (SELECT page_id, picture, list(text ORDER BY s, text) AS texts FROM s WHERE s IS NOT NULL GROUP BY page_id, picture),
+  o AS (SELECT pic.page_id, pic.ord AS picture, coalesce(c.texts, []) AS texts, row_number() OVER (PARTITION BY pic.page_id ORDER BY pic.ord) AS k FROM pic LEFT JOIN c ON c.page_id = pic.page_id AND c.picture = pic.ord),
+  g AS (SELECT page_id, k, picture, texts[1] AS text, [texts[1]] AS used FROM o WHERE k = 1
+    UNION ALL SELECT page_id, k, picture, text, list_append(used, text) FROM (SELECT o.page_id, o.k, o.picture, list_filter(o.texts, lambda x: NOT list_contains(g.used, x))[1] AS text, g.used FROM g JOIN o ON o.page_id = g.page_id AND o.k = g.k + 1) x)
+  SELECT page_id, picture, text FROM g {rest}"""
+
+
+@query(_greedy("""CASE WHEN d <= 300 THEN greatest(0.0, d + CASE WHEN ty < py THEN 200 ELSE 0 END - CASE WHEN abs(tx - px) < 0.5 * pw THEN 50 ELSE 0 END + CASE WHEN across > 0 THEN -30.0::DOUBLE * across / greatest(1, least(pw, tw)) ELSE 0 END) END"""))
 def greedy_pair_below(spark, sf):
     return matching.greedy_pairs(*_boxes(spark, sf), lambda p, t: geom.pair_score(p, t))
 
 
-@query()
+@query(_greedy("CASE WHEN d < 500 THEN d END", "WHERE text IS NOT NULL"))
 def greedy_pair_nearest(spark, sf):
     near = lambda p, t: F.when(geom.distance(p, t) < 500, geom.distance(p, t))
     return matching.greedy_pairs(*_boxes(spark, sf), near).filter("text is not null")
 
 
-@query()
+@query(_greedy("CASE WHEN d * CASE WHEN ty > py THEN 0.8::DOUBLE ELSE 1 END < 600 THEN d * CASE WHEN ty > py THEN 0.8::DOUBLE ELSE 1 END END"))
 def greedy_pair_weighted(spark, sf):
     def score(p, t):
         d = geom.distance(p, t) * F.when(geom.center_y(t) > geom.center_y(p), 0.8).otherwise(1.0)
@@ -212,7 +232,10 @@ def text_merge(spark, sf):
     return matching.merge_lines(A.tokens(spark, sf))
 
 
-@query()
+@query(f"""{_TOK.replace('WITH', 'WITH RECURSIVE', 1)}, b AS (SELECT page_id, ord, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, row_number() OVER (PARTITION BY page_id ORDER BY (y0 + y1) / 2, ord) AS k FROM tok),
+  f AS (SELECT page_id, ord, x, y, k, y AS anchor, CAST(0 AS INT) AS row FROM b WHERE k = 1
+    UNION ALL SELECT b.page_id, b.ord, b.x, b.y, b.k, CASE WHEN b.y - f.anchor > 0.05::DOUBLE * {HEIGHT} THEN b.y ELSE f.anchor END, f.row + CASE WHEN b.y - f.anchor > 0.05::DOUBLE * {HEIGHT} THEN 1 ELSE 0 END FROM f JOIN b ON b.page_id = f.page_id AND b.k = f.k + 1)
+  SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY row, x, y, ord) - 1 AS INT) AS reading_index, ord, row FROM f""")
 def reading_order_rows(spark, sf):
     return matching.reading_order(A.tokens(spark, sf), HEIGHT)
 
@@ -221,7 +244,7 @@ _GRID = "SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS page_id, CASE WHEN l_line
 
 
 @query(f"""WITH g AS (SELECT *, lead(line) OVER (PARTITION BY page_id, axis ORDER BY line) AS nxt FROM ({_GRID})), s AS (SELECT * FROM g WHERE nxt - line >= 50)
-  SELECT h.page_id, v.line AS x0, h.line AS y0, v.nxt AS x1, h.nxt AS y1 FROM s h JOIN s v ON h.page_id = v.page_id AND h.axis = 'h' AND v.axis = 'v'""")
+  SELECT h.page_id, v.line AS x0, h.line AS y0, v.nxt AS x1, h.nxt AS y1 FROM s h JOIN s v ON h.page_id = v.page_id AND h.axis = 'h' AND v.axis = 'v' AND (v.nxt - v.line) * (h.nxt - h.line) >= 5000""")
 def grid_cells(spark, sf):
     return matching.grid_cells(A.table(spark, sf, _GRID))
 
@@ -229,22 +252,28 @@ def grid_cells(spark, sf):
 _FB = f"c AS ({A.CARDS}), f AS ({A.FB})"
 
 
-@query(f"""WITH {_FB}, r AS (SELECT card_id, min(ord) AS r FROM f WHERE action = 'reject' GROUP BY card_id),
-  p AS (SELECT f.*, action = 'edit' AND trim(edited_text) <> '' AS valid FROM f LEFT JOIN r USING (card_id) WHERE r IS NULL OR ord < r),
-  s AS (SELECT card_id, arg_max(trim(edited_text), ord) FILTER (valid) AS edited, bool_or(valid) AS has_edit, bool_or(valid OR action = 'approve') AS act FROM p GROUP BY card_id)
-  SELECT c.card_id, CASE WHEN status <> 'rejected' AND has_edit THEN edited ELSE word END AS word,
-    CASE WHEN status = 'rejected' OR r IS NOT NULL THEN 'rejected' WHEN act THEN 'active' ELSE status END AS status,
-    CASE WHEN status <> 'rejected' AND r IS NULL AND act THEN false ELSE needs_review END AS needs_review FROM c LEFT JOIN r USING (card_id) LEFT JOIN s USING (card_id)""")
+#: Ordered feedback, row by row: a recursive walk that applies each row to the card's state.
+_WALK = f"""{_FB}, k AS (SELECT f.card_id, lower(f.action) AS action, trim(coalesce(f.edited_text, '')) AS said, row_number() OVER (PARTITION BY f.card_id ORDER BY f.ord) AS n FROM f JOIN c USING (card_id) WHERE lower(f.action) IN ('approve', 'reject', 'edit')),
+  walk AS (SELECT card_id, CAST(0 AS BIGINT) AS n, word, status, needs_review, false AS cleared, CAST(0 AS BIGINT) AS applied FROM c
+    UNION ALL SELECT card_id, kn, CASE WHEN e AND action = 'edit' THEN said ELSE word END, CASE WHEN e THEN 'active' WHEN j THEN 'rejected' ELSE status END, CASE WHEN e OR j THEN false ELSE needs_review END, cleared OR e, applied + CASE WHEN e OR j THEN 1 ELSE 0 END
+    FROM (SELECT w.*, k.n AS kn, k.action, k.said, w.status <> 'rejected' AND k.action = 'reject' AS j,
+      w.status <> 'rejected' AND (k.action = 'approve' AND NOT (w.status = 'active' AND NOT w.needs_review) OR k.action = 'edit' AND k.said <> '' AND NOT (w.status = 'active' AND NOT w.needs_review AND trim(w.word) = k.said)) AS e
+      FROM walk w JOIN k ON k.card_id = w.card_id AND k.n = w.n + 1) x),
+  final AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY n DESC) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {_WALK} SELECT card_id, word, status, needs_review, cleared FROM final""")
 def feedback_fold(spark, sf):
-    return review.apply_card_feedback(A.cards(spark, sf), A.feedback(spark, sf))
+    cards = A.cards(spark, sf).withColumn("reasons", F.array(F.lit("ANY")))
+    return review.apply_card_feedback(cards, A.feedback(spark, sf)).select("card_id", "word", "status", "needs_review", (F.size("reasons") == 0).alias("cleared"))
 
 
 @query(f"""WITH {_FB}, s AS (SELECT card_id, arg_max(action, ord) AS action, arg_max(edited_text, ord) FILTER (action = 'edit') AS edited FROM f WHERE action IN ('approve', 'reject', 'edit') GROUP BY card_id)
-  SELECT c.card_id AS pair_id, coalesce(edited, word) AS caption, CASE WHEN action = 'reject' THEN 'rejected' WHEN action IS NOT NULL THEN 'active' ELSE status END AS status FROM c LEFT JOIN s USING (card_id)""")
+  SELECT c.card_id AS pair_id, coalesce(edited, word) AS caption, CASE WHEN action = 'reject' THEN 'rejected' WHEN action IS NOT NULL THEN 'active' ELSE status END AS status, needs_review AND action IS NULL AS needs_review FROM c LEFT JOIN s USING (card_id)""")
 def pair_feedback_fold(spark, sf):
-    pairs = A.cards(spark, sf).select(F.col("card_id").alias("pair_id"), F.col("word").alias("caption"), "status", "reasons")
+    pairs = A.cards(spark, sf).select(F.col("card_id").alias("pair_id"), F.col("word").alias("caption"), "status", "reasons", "needs_review")
     said = A.feedback(spark, sf).select("ord", F.col("card_id").alias("pair_id"), "action", F.col("edited_text").alias("edited_caption"))
-    return review.apply_pair_feedback(pairs, said).select("pair_id", "caption", "status")
+    return review.apply_pair_feedback(pairs, said).select("pair_id", "caption", "status", "needs_review")
 
 
 @query(f"WITH f AS ({A.FB}) SELECT direction, count(*) AS votes FROM f GROUP BY direction ORDER BY votes DESC, min(ord) LIMIT 1")
@@ -391,7 +420,7 @@ def ordered_concat(spark, sf):
 
 
 def _registered() -> None:
-    from . import job_queries  # noqa: F401  (registers its queries)
+    from . import job_queries, summary_queries  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, Query]:

@@ -15,6 +15,10 @@ def test_job_to_export(spark, tmp_path):
     (tmp_path / "fb.json").write_text(json.dumps([{"card_id": cards["beta"], "action": "reject"}, {"card_id": cards["alpha"], "action": "edit", "edited_text": "ALPHA"}]))
     assert cli.main(["apply-review", "--job-dir", job, "--feedback", str(tmp_path / "fb.json"), "--out", out]) == 0
     assert {(r.word, r.status) for r in spark.read.json(f"{out}/result").collect()} == {("ALPHA", "active"), ("beta", "rejected"), ("gamma", "active")}
+    after = {r.word: r for r in spark.read.json(f"{out}/result").collect()}
+    assert not after["beta"].needs_review and not after["ALPHA"].needs_review and not after["ALPHA"].reasons
+    assert spark.read.json(f"{out}/metrics").first().finished
+    assert spark.read.schema("card_id string").json(f"{out}/review_queue").filter(f"card_id in ('{cards['beta']}', '{cards['alpha']}')").count() == 0
     assert cli.main(["validate", "--job-dir", out]) == 0
     assert cli.main(["export", "--job-dir", out, "--format", "csv", "--out", str(tmp_path / "csv")]) == 0
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2

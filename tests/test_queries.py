@@ -16,7 +16,20 @@ def test_entry(spark):
 
 def test_entry_keeps_the_seventh_token(spark):
     found = __spark_entry__.entry(spark).agg({"cleaned_words": "max"}).first()[0]
-    assert found == 9  # by layout_classify, whose SQL caps pages at 6 tokens, it is 6
+    assert found == 9
+
+
+def test_tokens_beyond_the_cap_are_dropped(spark, sf):
+    from pageflow.operators import pages
+    from pageflow.plans import adapters
+
+    tokens = adapters.tokens(spark, sf)
+    free, capped = (pages.clean_tokens(tokens, pages.CleanOptions(**{**vars(pages.CONFIGURED), "dedupe": False, "max_tokens": n})) for n in (200, 3))
+    ranked = {}
+    for r in sorted((r.page_id, r.ord) for r in free.collect()):
+        ranked.setdefault(r[0], []).append(r[1])
+    assert {(r.page_id, r.ord) for r in capped.collect()} == {(p, o) for p, found in ranked.items() for o in found[:3]}
+    assert max(map(len, ranked.values())) > 3
 
 
 def _boxes(spark, sf):
