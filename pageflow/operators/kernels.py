@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 from . import pixels
 
 
-def _windows(a: np.ndarray, size: int) -> np.ndarray:
-    half = size // 2
-    return np.lib.stride_tricks.sliding_window_view(np.pad(a, half, mode="edge"), (size, size))
-
-
 def smooth(g: np.ndarray, size: int = 5, sigma: float = 1.4) -> np.ndarray:
     """Gaussian blur by two passes of one axis each."""
     at = np.arange(size) - size // 2
@@ -24,7 +19,10 @@ def smooth(g: np.ndarray, size: int = 5, sigma: float = 1.4) -> np.ndarray:
     k /= k.sum()
     for axis in (0, 1):
         padded = np.pad(g, [(size // 2,) * 2 if a == axis else (0, 0) for a in (0, 1)], mode="edge")
-        g = np.lib.stride_tricks.sliding_window_view(padded, size, axis) @ k
+        n, out = g.shape[axis], np.zeros_like(g)
+        for i, x in enumerate(k.astype(g.dtype)):
+            out += x * (padded[i : i + n] if axis == 0 else padded[:, i : i + n])
+        g = out
     return g
 
 
@@ -33,8 +31,11 @@ def dilate(mask: np.ndarray, size: int = 3, times: int = 1) -> np.ndarray:
     half = size // 2
     for _ in range(times):
         for axis in (0, 1):
+            n = mask.shape[axis]
             padded = np.pad(mask, [(half, half) if a == axis else (0, 0) for a in (0, 1)])
-            mask = np.lib.stride_tricks.sliding_window_view(padded, size, axis).any(-1)
+            mask = np.zeros_like(mask)
+            for i in range(size):
+                mask |= padded[i : i + n] if axis == 0 else padded[:, i : i + n]
     return mask
 
 
@@ -49,21 +50,16 @@ def edges(g: np.ndarray, low: float = 30, high: float = 100) -> np.ndarray:
     """Canny edges: thinned gradients over ``high``, and those over ``low`` joined to them."""
     if min(g.shape, default=0) < 2:
         return np.zeros(g.shape, bool)
-    w = _windows(smooth(g.astype(np.float64)), 3)
-    sobel = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]])
-    dx, dy = (w * sobel).sum((2, 3)), (w * sobel.T).sum((2, 3))
+    p = np.pad(smooth(g.astype(np.float32)), 1, mode="edge")
+    rows, cols = p[:-2] + 2 * p[1:-1] + p[2:], p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
+    dx, dy = rows[:, 2:] - rows[:, :-2], cols[2:] - cols[:-2]
     size = np.hypot(dx, dy)
-    turn = (np.round(np.arctan2(dy, dx) / (np.pi / 4)) % 4).astype(int)
-    padded = np.pad(size, 1)
-    rows, cols = np.indices(size.shape) + 1
-    down, right = np.array([0, 1, 1, 1])[turn], np.array([1, 1, 0, -1])[turn]
-    thin = (size >= padded[rows + down, cols + right]) & (size > padded[rows - down, cols - right])
-    weak, strong = thin & (size >= low), thin & (size >= high)
-    while True:
-        grown = dilate(strong) & weak
-        if (grown == strong).all():
-            return strong
-        strong = grown
+    turn = (np.round(np.arctan2(dy, dx) / np.float32(np.pi / 4)) % 4).astype(np.int8)
+    padded, thin = np.pad(size, 1), np.zeros(size.shape, bool)
+    at = lambda down, right: padded[1 + down : 1 + down + size.shape[0], 1 + right : 1 + right + size.shape[1]]
+    for k, (down, right) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
+        thin |= (turn == k) & (size >= at(down, right)) & (size > at(-down, -right))
+    return pixels.holding(thin & (size >= low), size >= high)
 
 
 def edge_regions(g: np.ndarray, low: float = 30, high: float = 100, times: int = 3, gap: int = 15) -> list[tuple[int, int, int, int, int]]:
@@ -71,6 +67,19 @@ def edge_regions(g: np.ndarray, low: float = 30, high: float = 100, times: int =
     return sorted(pixels.components(close(dilate(edges(g, low, high), 3, times), gap)), key=lambda b: (b[1], b[0]))
 
 
+def opened(mask: np.ndarray, size: int) -> np.ndarray:
+    """Parts narrower than the square are taken away; outside the page counts as set."""
+    by = size // 2
+    thin = ~dilate(np.pad(~mask, by), size)
+    return dilate(thin, size)[by : by + mask.shape[0], by : by + mask.shape[1]]
+
+
+def background_regions(g: np.ndarray, step: int = 25, background: int | None = None, size: int = 5) -> list[tuple[int, int, int, int, int]]:
+    """Boxes (x0, y0, x1, y1, area) of what differs from the background once closed and opened, largest first."""
+    mask = opened(close(pixels.foreground(g, step, background), size), size)
+    return sorted(pixels.components(mask, True), key=lambda b: (-b[4], b[1], b[0]))
+
+
 def otsu(g: np.ndarray) -> int:
     """The gray level that parts dark from light with the largest variance between them."""
     n = np.bincount(g.astype(np.uint8).ravel(), minlength=256).astype(np.float64)

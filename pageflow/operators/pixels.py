@@ -3,6 +3,7 @@ over a page's value columns are plain aggregates and windows."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,37 +46,107 @@ def grid_lines(g: np.ndarray, axis: int, threshold: float = 10.0) -> list[int]:
     return [int(i) for i in np.flatnonzero(np.abs(np.diff(g, axis=axis)).mean(axis=1 - axis) > threshold)]
 
 
-def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Boxes (x0, y0, x1, y1, area) of the 4-connected parts of a mask, by labels spread
-    to the least neighbour along rows and columns until they settle."""
-    labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    big = mask.size + 1
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first column, end column) of each run of set pixels, row by row."""
+    padded = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    padded[:, 1:-1] = mask
+    steps = np.diff(padded, axis=1)
+    rows, first = np.nonzero(steps == 1)
+    return rows, first, np.nonzero(steps == -1)[1]
+
+
+def _parts(rows: np.ndarray, first: np.ndarray, end: np.ndarray, width: int, diagonal: bool) -> np.ndarray:
+    """The part that each run belongs to: the least run that it is joined to.
+
+    Runs that meet in the row above are found by bisection; parts are joined by hooking
+    each to the least neighbour and shortening the ways, until nothing changes."""
+    span = width + 2
+    above, sides = (rows - 1) * span, ("left", "right") if diagonal else ("right", "left")
+    low = np.searchsorted(rows * span + end, above + first, sides[0])
+    high = np.searchsorted(rows * span + first, above + end, sides[1])
+    count = np.maximum(high - low, 0)
+    mine = np.repeat(np.arange(len(rows)), count)
+    theirs = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+    part = np.arange(len(rows))
     while True:
-        before = labels.copy()
-        for axis in (0, 1):
-            for flip in (False, True):
-                x = np.flip(labels, axis) if flip else labels
-                y = np.where(x > 0, x, big)
-                for k in range(1, y.shape[axis]):
-                    now, last = (y[k], y[k - 1]) if axis == 0 else (y[:, k], y[:, k - 1])
-                    np.copyto(now, np.minimum(now, last), where=(now < big) & (last < big))
-                x = np.where(y < big, y, 0)
-                labels = np.flip(x, axis) if flip else x
-        if (labels == before).all():
-            break
-    out = []
-    for label in np.unique(labels[labels > 0]):
-        ys, xs = np.nonzero(labels == label)
-        out.append((int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1, len(xs)))
-    return out
-
-
-def foreground(g: np.ndarray, step: int = 25) -> np.ndarray:
-    """What differs from the most frequent gray by more than a step."""
-    background = int(np.bincount(g.astype(np.uint8).ravel(), minlength=256).argmax())
+        a, b = part[mine], part[theirs]
+        apart = a != b
+        if not apart.any():
+            return part
+        np.minimum.at(part, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not (part == (shorter := part[part])).all():
+            part = shorter
+
+
+def components(mask: np.ndarray, diagonal: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """Boxes (x0, y0, x1, y1, area) of the connected parts of a mask (by sides, or corners too)."""
+    rows, first, end = _runs(mask)
+    if not len(rows):
+        return []
+    names, part = np.unique(_parts(rows, first, end, mask.shape[1], diagonal), return_inverse=True)
+    box = np.full((4, len(names)), mask.size, np.int64)
+    box[2:] = 0
+    area = np.zeros(len(names), np.int64)
+    np.minimum.at(box[0], part, first)
+    np.minimum.at(box[1], part, rows)
+    np.maximum.at(box[2], part, end)
+    np.maximum.at(box[3], part, rows + 1)
+    np.add.at(area, part, end - first)
+    return [tuple(map(int, b)) for b in zip(*box, area)]
+
+
+def holding(mask: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The parts of a mask, joined by sides or corners, that hold a seed."""
+    rows, first, end = _runs(mask)
+    if not len(rows):
+        return np.zeros_like(mask)
+    part = _parts(rows, first, end, mask.shape[1], True)
+    sums = np.concatenate([[0], np.cumsum((seeds & mask).ravel())])
+    base = rows * mask.shape[1]
+    seeded = np.zeros(len(rows), bool)
+    seeded[part[sums[base + end] > sums[base + first]]] = True
+    kept = seeded[part]
+    steps = np.zeros((mask.shape[0], mask.shape[1] + 1), np.int8)
+    steps[rows[kept], first[kept]] = 1
+    np.subtract.at(steps, (rows[kept], end[kept]), 1)
+    return np.cumsum(steps, axis=1, dtype=np.int8)[:, :-1] > 0
+
+
+def foreground(g: np.ndarray, step: int = 25, background: int | None = None) -> np.ndarray:
+    """What differs from the background, the most frequent gray if none is given, by more than a step."""
+    if background is None:
+        background = int(np.bincount(g.astype(np.uint8).ravel(), minlength=256).argmax())
     return np.abs(g - background) > step
 
 
+def page_hash(g: np.ndarray, size: int = 64) -> str:
+    """MD5 of a page shrunk, by means over equal parts, to ``size`` pixels at most a side."""
+    height, width = (max(1, min(size, n)) for n in g.shape)
+    rows, cols = (np.linspace(0, n, k + 1).astype(int)[:-1] for n, k in zip(g.shape, (height, width)))
+    sums = np.add.reduceat(np.add.reduceat(g.astype(np.float64), rows, axis=0), cols, axis=1)
+    counts = np.outer(np.diff([*rows, g.shape[0]]), np.diff([*cols, g.shape[1]]))
+    return hashlib.md5((sums / counts).astype(np.uint8).tobytes(), usedforsecurity=False).hexdigest()
+
+
+def padded_crop(rgb: np.ndarray, box: tuple[int, int, int, int], pad: int = 10, contrast: float = 1.0) -> np.ndarray:
+    """A crop with a margin within the page, its contrast raised about its mean."""
+    x0, y0, x1, y1 = box
+    part = rgb[max(0, y0 - pad) : y1 + pad, max(0, x0 - pad) : x1 + pad]
+    if contrast == 1.0 or not part.size:
+        return part.copy()
+    mean = part.mean()
+    return np.clip((part - mean) * contrast + mean, 0, 255).astype(np.uint8)
+
+
+def grid_lines_laddered(g: np.ndarray, threshold: float = 10.0) -> tuple[list[int], list[int]]:
+    """Rows and columns of a grid: the first of three falling thresholds that finds two of each."""
+    for limit in (threshold, max(5.0, threshold - 3), max(3.0, threshold // 2)):
+        found = grid_lines(g, 0, limit), grid_lines(g, 1, limit)
+        if min(map(len, found)) >= 2:
+            return found
+    return [], []
+
+
 def crop_scores(images: DataFrame) -> DataFrame:
     """Blank and realism scores of crops: (key, image, x0, y0, x1, y1).
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .operators import kernels, pixels
 
 
 class OcrEngine(Protocol):
@@ -24,6 +28,95 @@ class PageRenderer(Protocol):
         """(page id, encoded image) of each page of a document."""
 
 
+class PictureDetector(Protocol):
+    def pictures(self, gray: np.ndarray) -> list[tuple[float, tuple[int, int, int, int]]]:
+        """(confidence, box) of each picture of a gray page."""
+
+
+class Chain:
+    """Engines tried in order: the first that can be built and finds something answers.
+
+    An engine that can't be built is left out for good; one that fails on a page is passed
+    over.  Only if all that were asked failed does the last error go on."""
+
+    def __init__(self, *makers):
+        self.makers, self.built = makers, None
+
+    def _engines(self) -> list:
+        if self.built is None:
+            self.built = []
+            for make in self.makers:
+                try:
+                    self.built.append(make())
+                except Exception:  # a missing library or model
+                    continue
+        return self.built
+
+    def _first(self, name: str, *args) -> list:
+        error, answered = None, False
+        for engine in self._engines():
+            try:
+                if found := getattr(engine, name)(*args):
+                    return found
+                answered = True
+            except Exception as e:  # the next engine may do
+                error = e
+        if error and not answered:
+            raise error
+        return []
+
+    def tokens(self, content: bytes) -> list:
+        return self._first("tokens", content)
+
+    def pictures(self, gray: np.ndarray) -> list:
+        return self._first("pictures", gray)
+
+
+class EdgeDetector:
+    """Pictures as regions that edges enclose."""
+
+    def __init__(self, least: int = 1000):
+        self.least = least
+
+    def pictures(self, gray: np.ndarray) -> list:
+        return [(0.7, b[:4]) for b in kernels.edge_regions(gray, 50, 150, 2, 3) if (b[2] - b[0]) * (b[3] - b[1]) >= self.least]
+
+
+class GridDetector:
+    """Pictures as the upper parts of an estimated grid's cells that aren't plain."""
+
+    def pictures(self, gray: np.ndarray) -> list:
+        height, width = gray.shape
+        cols, rows = max(1, min(4, width // 300)), max(1, min(6, height // 300))
+        w, h, out = width // cols, height // rows, []
+        for r in range(rows):
+            for c in range(cols):
+                box = c * w + 10, r * h + 10, (c + 1) * w - 10, r * h + int(h * 0.65)
+                part = gray[box[1] : box[3], box[0] : box[2]]
+                if part.size and part.std() >= 20:
+                    out.append((0.5, box))
+        return out
+
+
+def run_detector(images: DataFrame, make) -> DataFrame:
+    """Pictures (page_id, ord, confidence, box) of decoded pages (page_id, image); a page that
+    fails gives one error row.  ``make`` builds the detector in the worker."""
+
+    def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        detector = make()
+        for batch in found:
+            for r in batch.itertuples(index=False):
+                try:
+                    got = detector.pictures(pixels.gray(r.data, r.height, r.width, r.channels))
+                    rows = [(r.page_id, i, float(c), dict(zip(("x0", "y0", "x1", "y1"), map(int, b))), None) for i, (c, b) in enumerate(got)]
+                except Exception as e:  # a bad page must not fail the job
+                    rows = [(r.page_id, None, None, None, str(e))]
+                yield pd.DataFrame(rows, columns=["page_id", "ord", "confidence", "box", "error"])
+
+    picked = images.select("page_id", F.col("image.data").alias("data"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"))
+    return picked.mapInPandas(run, "page_id string, ord int, confidence double, box struct<x0:int,y0:int,x1:int,y1:int>, error string")
+
+
 _TOKENS = "page_id string, ord int, text string, confidence double, box struct<x0:int,y0:int,x1:int,y1:int>, error string"
 
 
