@@ -206,6 +206,26 @@ def test_items_of_any_length_are_found(spark):
         assert not {(d, i) for d, i in got if d != i and len(items[i][1].split()) < decontaminate.LEAST}
 
 
+def test_recall_of_planted_items(spark):
+    """Items planted verbatim, and with a tenth and a fifth of their words replaced."""
+    rng = random.Random(15)
+    word = lambda: f"w{int(3000 * rng.random() ** 2)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(24, 60)))) for i in range(40)]
+    docs, planted = [], {}
+    for n, (share, least) in enumerate(((0.0, 1.0), (0.1, 0.95), (0.2, 0.9))):
+        for i, text in items:
+            w = [x if rng.random() >= share else f"new{rng.randrange(10**6)}" for x in text.split()]
+            around = [word() for _ in range(rng.randrange(50, 400))]
+            at = rng.randrange(len(around))
+            docs.append((1000 * n + i, " ".join([*around[:at], *w, *around[at:]])))
+            planted[1000 * n + i] = i
+    docs += [(9000 + i, " ".join(word() for _ in range(300))) for i in range(200)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {d for d, _ in got} <= set(planted) and all(planted[d] == i for d, i in got)
+    for n, least in enumerate((1.0, 0.95, 0.9)):
+        assert sum(d // 1000 == n for d, _ in got) >= least * len(items)
+
+
 def test_rarest_words_miss_no_place():
     """The searcher against every place of every text, without a gate."""
     rng, terms = random.Random(12), decontaminate.Terms()
@@ -263,6 +283,51 @@ def test_languages_without_a_reference_are_not_judged_by_others(spark):
     assert {r.doc_id for r in quality_rules.filter_rules(docs).collect()} == kept
 
 
+def test_kept_by_brute_force(spark, sf):
+    """The verdicts from references and distances worked out with plain counters."""
+    rows = [(r.doc_id, r.text or "", r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    common = {w for ws in quality_rules.COMMON.values() for w in ws.split()}
+
+    def kind(c):
+        tests = (("lower", c.islower()), ("upper", c.isupper()), ("digit", c.isdigit()), ("space", c.isspace()), ("stop", c in ".,;:"), ("mark", c in "!?'\"()-¿¡«»"), ("symbol", c in "#*$%&|<>~^_=+/\\@{}[]`"))
+        return next((n for n, hit in tests if hit), "other") if ord(c) < 0x250 else "other"
+
+    def share(counts):
+        total = sum(counts.values())
+        return {k: v / total for k, v in counts.items()}
+
+    def apart(p, q):
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+        part = lambda x: sum(v * np.log2(v / m[k]) for k, v in x.items() if v > 0)
+        return max(0.0, (part(p) + part(q)) / 2) ** 0.5
+
+    held, sums, counted = {}, defaultdict(lambda: (Counter(), Counter())), Counter()
+    for d, t, lang in rows:
+        w = word.findall(t)
+        failed = quality_rules.base_failed(len(w), quality_rules.repeated_words([x.encode() for x in w]))
+        classes = Counter(map(kind, t))
+        words = Counter((b if (b := x.strip(".,;:!?\"'()")) in common else "") for x in w)
+        held[d] = len(w), failed, classes, words, lang
+        if len(w) >= 50 and not failed:
+            counted[lang] += 1
+            for total, own in zip(sums[lang], (classes, words)):
+                for k, v in share(own).items():
+                    total[k] += v
+    refs = [tuple(map(share, sums[lang])) for lang in sums if counted[lang] >= quality_rules.LEAST_DOCS]
+    want = {}
+    for d, (n, failed, classes, words, lang) in held.items():
+        noise, kept = max(n, 1) ** -0.5, not failed
+        if kept and counted[lang] >= quality_rules.LEAST_DOCS:
+            if sum(classes.values()) >= quality_rules.LEAST_CHARS:
+                kept = min(apart(share(classes), r[0]) for r in refs) <= quality_rules.CLASS_LIMIT[0] + quality_rules.CLASS_LIMIT[1] * noise
+            if kept and n >= quality_rules.LEAST_WORDS:
+                kept = min(apart(share(words), r[1]) for r in refs) <= quality_rules.WORD_LIMIT[0] + quality_rules.WORD_LIMIT[1] * noise
+        want[d] = kept
+    got = {r.doc_id: r.kept for r in Q["op4_quality_rules"](spark, sf).collect()}
+    assert got == want and 0 < sum(got.values()) < len(got)
+
+
 def test_divergence():
     assert quality_rules.distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
     assert quality_rules.distance(np.array([3.0, 1]), np.array([3.0, 1])) == 0
