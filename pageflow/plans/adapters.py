@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +29,16 @@ FROM events"""
 PX = "SELECT CAST(vec_id AS BIGINT) AS key, CAST(i AS BIGINT) AS i, CAST(greatest(0, least(255, floor(128 + 256 * CAST(v AS DOUBLE)))) AS BIGINT) AS value FROM "
 
 
-def views(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    views(spark, sf_dir)
-    return spark.sql(sql)
+    """The query over a folder's tables: just those it names are read, and no view is left."""
+    used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)]
+    for t in used:
+        sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+    return spark.sql(sql, **{t: read(spark, sf_dir, t) for t in used})
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,9 +44,8 @@ def export_stats(spark, sf):
 @query("""SELECT category, count(*) AS n, CAST(CASE category WHEN 'CONTRACT' THEN 0 WHEN 'DETERMINISM' THEN 1 WHEN 'APKG' THEN 3 ELSE 4 END AS INT) AS place
   FROM (SELECT CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'APKG' WHEN 1 THEN 'SECURITY' WHEN 2 THEN 'DETERMINISM' ELSE 'CONTRACT' END AS category FROM pages) GROUP BY category""")
 def error_buckets(spark, sf):
-    A.views(spark, sf)
     said = F.array(*map(F.lit, ("bad apkg zip", "unsafe file", "not deterministic", "missing key")))
-    return jobs.error_buckets(spark.table("pages").select(F.element_at(said, (F.col("page_id") % 4 + 1).cast("int")).alias("message")))
+    return jobs.error_buckets(A.read(spark, sf, "pages").select(F.element_at(said, (F.col("page_id") % 4 + 1).cast("int")).alias("message")))
 
 
 @query(f"{_BOXES} SELECT page_id, ord, text FROM txt WHERE (x1 - x0) * (y1 - y0) >= 300 AND length(trim(text)) >= 2 AND confidence >= 0.4")

@@ -132,8 +132,7 @@ def path_safety(spark, sf):
 @query("""SELECT CAST(page_id AS BIGINT) AS page_id, CASE WHEN title LIKE '%apkg%' THEN 'APKG' WHEN title LIKE '%unsafe%' THEN 'SECURITY' WHEN title LIKE '%determin%' THEN 'DETERMINISM' ELSE 'CONTRACT' END AS category
   FROM (SELECT page_id, CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'bad apkg zip' WHEN 1 THEN 'unsafe file' WHEN 2 THEN 'not deterministic' ELSE 'missing key' END AS title FROM pages)""")
 def error_categories(spark, sf):
-    A.views(spark, sf)
-    p = spark.table("pages").select("page_id", F.element_at(F.array(*map(F.lit, ("bad apkg zip", "unsafe file", "not deterministic", "missing key"))), (F.col("page_id") % 4 + 1).cast("int")).alias("title"))
+    p = A.read(spark, sf, "pages").select("page_id", F.element_at(F.array(*map(F.lit, ("bad apkg zip", "unsafe file", "not deterministic", "missing key"))), (F.col("page_id") % 4 + 1).cast("int")).alias("title"))
     return p.select("page_id", text.error_category(F.col("title")).alias("category"))
 
 
@@ -311,8 +310,7 @@ def media_names(spark, sf):
 
 @query("""WITH r AS (SELECT DISTINCT split_part(unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)), '/', -1) AS name FROM pages) SELECT name FROM r WHERE length(name) % 2 = 1""")
 def media_integrity(spark, sf):
-    A.views(spark, sf)
-    notes = spark.table("pages").select(F.regexp_replace("html", '<a href="', '<img src="').alias("fields"))
+    notes = A.read(spark, sf, "pages").select(F.regexp_replace("html", '<a href="', '<img src="').alias("fields"))
     used = notes.select(F.explode(text.media_refs(F.col("fields"))).alias("name")).distinct()
     return review.missing_media(notes, used.filter("length(name) % 2 = 0"))
 
@@ -413,8 +411,7 @@ def canonical_order(spark, sf):
 
 @query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS said, count(*) AS turns, arg_min(text, turn) FILTER (trim(text) <> '') AS first_said FROM conversations GROUP BY conv_id""")
 def ordered_concat(spark, sf):
-    A.views(spark, sf)
-    c = spark.table("conversations")
+    c = A.read(spark, sf, "conversations")
     parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("said"), F.count(F.lit(1)).alias("turns"), F.min_by("text", F.when(F.trim("text") != "", F.col("turn"))).alias("first_said"))
 

@@ -284,8 +284,7 @@ def contour_rows(spark, sf):
 
 @query("SELECT page_id, html AS text FROM pages")
 def unescape_round_trip(spark, sf):
-    A.views(spark, sf)
-    return spark.table("pages").select("page_id", text.html_unescape(text.html_escape(F.col("html"))).alias("text"))
+    return A.read(spark, sf, "pages").select("page_id", text.html_unescape(text.html_escape(F.col("html"))).alias("text"))
 
 
 @query(f"{_C} SELECT card_id, substr(sha1(concat_ws('|', card_id, status, '2026-01-01T00:00:00+00:00')), 1, 16) AS record_id, CASE WHEN doc_id % 3 = 0 THEN 1000000000 ELSE token_index END AS place FROM c")
