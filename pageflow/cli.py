@@ -1,16 +1,20 @@
 """Command line: run, validate, export, apply-review, review-ui, learning-stats,
-apply-pair-feedback, build-flashcards, generate-review-html."""
+apply-pair-feedback, build-flashcards, generate-review-html, extract, extract-pairs."""
 
 from __future__ import annotations
 
 import argparse
+import dataclasses
+import importlib
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sinks, sources
-from .operators import jobs, pages, review
+from . import extract, jobfiles, pairfiles, plugins, sinks, sources
+from .operators import jobs, matching, pages, review
+from .sources import scan
 
 
 def job(spark: SparkSession, tokens_path: str, width: int, height: int, source: str, min_confidence: float = 0.7) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -28,6 +32,70 @@ def _cards(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(sources.JOB_CARD).json(f"{folder}/result")
 
 
+def _made(name: str | None):
+    """The class that ``module:name`` names, or None."""
+    if name is None:
+        return None
+    module, _, of = name.partition(":")
+    return getattr(importlib.import_module(module), of)
+
+
+def _images(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Decoded pages of an image, a document or a folder of both; documents need a renderer."""
+    kind, path = jobfiles.resolve_input(a.input)
+    images = extract.decoded(spark, path) if kind != "pdf" else None
+    renderer = _made(a.renderer)
+    if renderer is None:
+        if images is None:
+            raise ValueError("a document needs --renderer")
+        return images
+    shown = scan.document_images(spark, path, renderer, a.dpi)
+    return shown if images is None else images.unionByName(shown)
+
+
+def _tokens(spark: SparkSession, a: argparse.Namespace, images: DataFrame) -> DataFrame:
+    """Stored OCR results, an engine's, or without either a placeholder for each cell of a page."""
+    if a.tokens:
+        return sources.read_token_pages(spark, a.tokens)
+    if a.ocr:
+        return plugins.run_ocr(images, _made(a.ocr)).filter("error is null").drop("error")
+    return matching.placeholder_texts(images.select("page_id", F.col("image.width").alias("width"), F.col("image.height").alias("height")))
+
+
+def quick(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Pictures with their captions from an image or a folder: files by page, a summary, and an export."""
+    strict = extract.STRICT if a.strict else {"max_area_ratio": a.max_area_ratio, "min_edge_density": a.min_edge_density}
+    options = extract.PairOptions(**strict)
+    job_name = jobfiles.input_id(a.input) if a.command == "extract" else jobfiles.now().replace(":", "-").replace("T", "_")[:19] + "_" + jobfiles.input_id(a.input)[:8]
+    folder = os.path.join(a.workspace, "output", f"job_{job_name}")
+    images = _images(spark, a)
+    found, summary = extract.extract_pairs_from_pages(images, _tokens(spark, a, images), _made(a.detector), options)
+    # every later step reads what was found once
+    found.write.mode("overwrite").parquet(f"{folder}/stage/pairs")
+    summary.write.mode("overwrite").parquet(f"{folder}/stage/summaries")
+    found, summary = spark.read.parquet(f"{folder}/stage/pairs"), spark.read.parquet(f"{folder}/stage/summaries")
+    pairfiles.write_files(pairfiles.pair_files(images, found), folder)
+    told = pairfiles.write_job_summary(summary, found, folder, job_name, dataclasses.asdict(options))
+    if a.command == "extract-pairs" and a.debug_viz:
+        pairfiles.write_files(pairfiles.drawings(images, found), folder)
+    print(f"job_id={job_name} pages={told['pages_processed']} pairs={told['total_pairs']} review={told['total_needing_review']} output={folder}")
+    if not told["pages_processed"]:
+        print("no pages found")
+        return 1
+    if a.export:
+        cards = extract.quick_cards(found, told["created_at"], a.command == "extract-pairs")
+        cards.write.mode("overwrite").json(f"{folder}/result")
+        full = extract.quick_cards(found, told["created_at"])
+        if a.export.endswith(".apkg"):
+            n = sinks.export_apkg(full, a.export, a.deck_name or os.path.splitext(os.path.basename(os.path.normpath(a.input)))[0], sinks.Folder(folder))
+        elif a.export.endswith(".csv"):
+            n = sinks.export_csv(full, a.export)
+        else:
+            raise ValueError(f"unknown export format: {a.export}")
+        print(f"exported={n}")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="pageflow")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -47,11 +115,31 @@ def main(argv: list[str] | None = None) -> int:
         p = commands.add_parser(name)
         for x in ("--pairs", "--out", *extra):
             p.add_argument(x, required=True)
+        if name == "generate-review-html":
+            p.add_argument("--images")
+    for name in ("extract", "extract-pairs"):
+        p = commands.add_parser(name)
+        p.add_argument("--input", required=True)
+        p.add_argument("--workspace", default="./workspace")
+        for x in ("--tokens", "--ocr", "--detector", "--renderer", "--export", "--deck-name"):
+            p.add_argument(x)
+        p.add_argument("--min-edge-density", type=float, default=0.05)
+        p.add_argument("--max-area-ratio", type=float, default=0.15)
+        p.add_argument("--dpi", type=int, default=300)
+        p.add_argument("--strict", action="store_true")
+        if name == "extract-pairs":
+            p.add_argument("--debug-viz", action="store_true")
     a = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "run":
         sinks.write_job(*job(spark, a.tokens, a.width, a.height, a.source, a.min_confidence), a.job_dir)
         return 0
+    if a.command in ("extract", "extract-pairs"):
+        try:
+            return quick(spark, a)
+        except (ValueError, OSError) as e:
+            print(f"{a.command} failed: {e}")
+            return 1
     if "pairs" in a:
         pairs = sources.read_pairs(spark, a.pairs)
         if a.command == "apply-pair-feedback":
@@ -61,7 +149,7 @@ def main(argv: list[str] | None = None) -> int:
             kept = pairs.filter(F.coalesce(F.col("status") != "rejected", F.lit(True)))
             pages.reverse_cards(kept.withColumnRenamed("caption_text", "caption")).write.mode("overwrite").json(a.out)
         else:
-            print(sinks.pair_review_page(pairs.withColumn("image", F.lit("")), a.out))
+            print(sinks.pair_review_page(sinks.with_images(spark, pairs, a.images), a.out))
         return 0
     cards = _cards(spark, a.job_dir)
     if a.command == "validate":

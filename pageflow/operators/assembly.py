@@ -79,8 +79,10 @@ def region_class(box: Column, width: int, height: int, rule: str = "contour") ->
 REGION_FILTER = {"first": (0.001, 0.5, 0.3, 3.0, 0, 0), "unified": (0.001, 0.3, 0.25, 4.0, 0, 0), "contour": (0.001, 0.1, 0.3, 3.0, 80, 50), "picture": (0.003, 0.15, 0.4, 2.5, 0, 0)}
 
 
-def region_kept(box: Column, width: int, height: int, rule: str) -> Column:
+def region_kept(box: Column, width: int, height: int, rule: str, most: float | None = None) -> Column:
+    """A rule's verdict; ``most`` is another largest share of the page."""
     low, high, thin, wide, side, margin = REGION_FILTER[rule]
+    high = high if most is None else most
     share, aspect = geom.area(box) / (width * height), geom.width(box) / F.greatest(F.lit(1), geom.height(box))
     inside = (box["x0"] >= margin) & (box["y0"] >= margin) & (box["x1"] <= width - margin) & (box["y1"] <= height - margin)
     return share.between(low, high) & aspect.between(thin, wide) & (geom.width(box) >= side) & (geom.height(box) >= side) & (inside if margin else F.lit(True))

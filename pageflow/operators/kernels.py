@@ -114,6 +114,44 @@ def draw_boxes(rgb: np.ndarray, boxes: list[tuple[int, int, int, int]], colors:
     return out
 
 
+def crop(rgb: np.ndarray, box: tuple[int, int, int, int]) -> np.ndarray:
+    """The part of a page in a box, at least a pixel wide and high, within the page."""
+    height, width = rgb.shape[:2]
+    x0, y0 = min(max(0, box[0]), width - 1), min(max(0, box[1]), height - 1)
+    return rgb[y0 : max(y0 + 1, box[3]), x0 : max(x0 + 1, box[2])]
+
+
+def draw_line(rgb: np.ndarray, a: tuple[int, int], b: tuple[int, int], color: tuple[int, int, int], thick: int = 2) -> np.ndarray:
+    """A copy of the page with a line between two places (x, y); what lies outside is left out."""
+    out = rgb.copy()
+    n = max(abs(a[0] - b[0]), abs(a[1] - b[1])) + 1
+    xs, ys = (np.rint(np.linspace(a[k], b[k], n)).astype(int) for k in (0, 1))
+    for down in range(thick):
+        for right in range(thick):
+            x, y = xs + right, ys + down
+            on = (x >= 0) & (y >= 0) & (x < out.shape[1]) & (y < out.shape[0])
+            out[y[on], x[on]] = color
+    return out
+
+
+#: Letters of labels: five rows from the top, each the octal digit of its three points (fixed values).
+GLYPHS = {"0": "75557", "1": "26227", "2": "71747", "3": "71717", "4": "55711", "5": "74717", "6": "74757", "7": "71111", "8": "75757", "9": "75717", "#": "57575", "[": "64446", "]": "31113", "B": "65656", "P": "75744", "R": "65655", "T": "72222", " ": "00000"}
+
+
+def draw_label(rgb: np.ndarray, at: tuple[int, int], label: str, color: tuple[int, int, int], size: int = 3) -> np.ndarray:
+    """A copy of the page with a label at (x, y), moved into the page; letters without a glyph are blank."""
+    points = np.zeros((5, 4 * len(label)), bool)
+    for k, c in enumerate(label):
+        for row, digit in enumerate(GLYPHS.get(c, GLYPHS[" "])):
+            points[row, 4 * k : 4 * k + 3] = [int(digit) >> bit & 1 for bit in (2, 1, 0)]
+    mask = points.repeat(size, 0).repeat(size, 1)
+    out = rgb.copy()
+    y, x = max(0, min(at[1], out.shape[0] - mask.shape[0])), max(0, min(at[0], out.shape[1] - mask.shape[1]))
+    part = out[y : y + mask.shape[0], x : x + mask.shape[1]]
+    part[mask[: part.shape[0], : part.shape[1]]] = color
+    return out
+
+
 def page_regions(images: DataFrame) -> DataFrame:
     """Edge regions of pages (page_id, image) in reading order; a bad page gives an error row."""
     box = "page_id string, ord int, x0 int, y0 int, x1 int, y1 int, area int, error string"

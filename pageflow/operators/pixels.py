@@ -21,6 +21,16 @@ def gray(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return a[..., 0] if channels == 1 else 0.114 * a[..., 0] + 0.587 * a[..., 1] + 0.299 * a[..., 2]
 
 
+def rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """Red, green and blue of Spark's image bytes."""
+    a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return np.repeat(a, 3, axis=2) if channels == 1 else a[..., 2::-1].copy()
+
+
+def luma(rgb: np.ndarray) -> np.ndarray:
+    return 0.299 * rgb[..., 0].astype(np.float32) + 0.587 * rgb[..., 1] + 0.114 * rgb[..., 2]
+
+
 def blank_score(g: np.ndarray) -> tuple[float, float, float, bool]:
     """(score, entropy, edge density, blank): 1 for an empty crop, 0 for a busy one."""
     if g.size == 0:
@@ -33,12 +43,12 @@ def blank_score(g: np.ndarray) -> tuple[float, float, float, bool]:
     return (max(score, 0.7) if blank else score), entropy, edges, blank
 
 
-def realism(g: np.ndarray, rgb: np.ndarray) -> tuple[float, float, float, bool]:
+def realism(g: np.ndarray, rgb: np.ndarray, least_edges: float = 0.05) -> tuple[float, float, float, bool]:
     """(variance, share that is no background, edge density, real picture)."""
     variance = float(g.var())
     content = float(1 - (rgb > 240).all(axis=-1).mean()) if g.size else 0.0
     edges = float((np.abs(np.diff(g, axis=1)) > EDGE_STEP).mean()) if g.size and g.shape[1] > 1 else 0.0
-    return variance, content, edges, variance >= 500 and content >= 0.2 and edges >= 0.05
+    return variance, content, edges, variance >= 500 and content >= 0.2 and edges >= least_edges
 
 
 def grid_lines(g: np.ndarray, axis: int, threshold: float = 10.0) -> list[int]:

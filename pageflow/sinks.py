@@ -12,7 +12,7 @@ import zipfile
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
@@ -47,7 +47,7 @@ def write_job(cards: DataFrame, queue: DataFrame, metrics: DataFrame, folder: st
     metrics.withColumn("finished", F.lit(True)).withColumn("completed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).write.mode("overwrite").json(f"{folder}/metrics")
 
 
-def export_apkg(cards: DataFrame, path: str, deck: str, images: dict[str, bytes] | None = None) -> int:
+def export_apkg(cards: DataFrame, path: str, deck: str, images: dict[str, bytes] | Folder | None = None) -> int:
     """Writes one package of the active cards (a deck is a file for one person: its
     rows stream through the driver in order)."""
     rows = cards.filter((F.col("status") == "active") & (F.coalesce("front_image_path", F.lit("")) != ""))
@@ -133,6 +133,32 @@ def pair_review_page(pairs: DataFrame, path: str) -> int:
     return n
 
 
+def with_images(spark: SparkSession, pairs: DataFrame, folder: str | None, path: str = "picture_path") -> DataFrame:
+    """Pairs with ``image``, the data URL of their picture in a job's folder; empty where there
+    is none, where its path is unsafe, or without a folder."""
+    if folder is None or path not in pairs.columns:
+        return pairs.withColumn("image", F.lit(""))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(folder)
+    root = folder.rstrip("/") if "://" in folder else os.path.abspath(folder)
+    held = files.select(F.get(F.split("path", f"\\Q{root}/\\E", 2), F.lit(1)).alias("_path"), "content")
+    safe = F.when(text.path_problem(F.col(path)).isNull(), F.regexp_replace(path, r"\\", "/"))
+    return pairs.withColumn("_path", safe).join(held, "_path", "left").withColumn("image", data_url(F.col("_path"), F.col("content"))).drop("_path", "content")
+
+
+class Folder:
+    """Images of a job's folder by their path in it; a missing one is empty."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def get(self, path: str, default: bytes = b"") -> bytes:
+        try:
+            with open(os.path.join(self.folder, path), "rb") as f:
+                return f.read()
+        except OSError:
+            return default
+
+
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """Pairs as JSON, a row a page with its pairs in order (schema 2.0)."""
     held = F.struct("order_index", *(c for c in pairs.columns if c not in ("order_index", "page_id")))
@@ -146,9 +172,9 @@ def write_errors(errors: DataFrame, path: str) -> None:
 
 
 def png(rgb: np.ndarray) -> bytes:
-    """A PNG of 8-bit gray or RGB pixels."""
+    """A PNG of 8-bit gray, RGB or RGBA pixels."""
     height, width = rgb.shape[:2]
-    kind = 0 if rgb.ndim == 2 else 2
+    kind = 0 if rgb.ndim == 2 else 6 if rgb.shape[2] == 4 else 2
     raw = b"".join(b"\0" + np.ascontiguousarray(row, np.uint8).tobytes() for row in rgb)
 
     def chunk(name: bytes, data: bytes) -> bytes:

@@ -44,6 +44,28 @@ def _counted(files: DataFrame, make: Callable) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, n_pages int")
 
 
+def document_images(spark: SparkSession, path: str, make_renderer: Callable, dpi: int = 300) -> DataFrame:
+    """Decoded pages (page_id, image) of documents: ``{page}`` of a single one, ``{file}_{page}``
+    in a folder.  The renderer's ``arrays(content, dpi)`` gives (page, RGB pixels); a bad
+    document is left out."""
+    alone = path.lower().endswith(".pdf")
+
+    def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        renderer = make_renderer()
+        for batch in found:
+            for where, content in zip(batch["path"], batch["content"]):
+                stem = where.rpartition("/")[2].rpartition(".")[0]
+                try:
+                    for name, rgb in renderer.arrays(content, dpi):
+                        data = rgb[..., ::-1].tobytes()
+                        yield pd.DataFrame([(name if alone else f"{stem}_{name}", where, rgb.shape[0], rgb.shape[1], 3, 16, data)], columns=["page_id", "origin", "height", "width", "nChannels", "mode", "data"])
+                except Exception as e:  # a bad document must not fail the job
+                    print(f"rendering failed: {where}: {e}")
+
+    made = read_files(spark, path).filter("kind = 1").select("path", "content").mapInPandas(run, "page_id string, origin string, height int, width int, nChannels int, mode int, data binary")
+    return made.select("page_id", F.struct("origin", "height", "width", "nChannels", "mode", "data").alias("image"))
+
+
 def read_pages(spark: SparkSession, path: str, make_renderer: Callable | None = None, dpi: int = 200) -> DataFrame:
     """Pages of folders: page_index, page_id, source_ref, content, error.
 

@@ -1,12 +1,13 @@
 import json
 import time
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pageflow import extract, jobfiles, plugins, sinks
-from pageflow.operators import kernels, pixels, review, summaries
+from pageflow import cli, extract, jobfiles, pairfiles, plugins, sinks, sources
+from pageflow.operators import enhance, kernels, pixels, review, summaries
 
 TEXTS = "page_id string, ord int, text string, confidence double, box struct<x0:int,y0:int,x1:int,y1:int>"
 
@@ -149,3 +150,130 @@ def test_job_files(spark, tmp_path):
     assert spark.read.json(f"{job}/stage/layout").first().page_id == "p"
     path = jobfiles.log_feedback(records, f"{job}/log", "job-1234-5")
     assert path.endswith("__job-1234") and spark.read.json(path).count() == 1
+
+
+def scene(spark, folder):
+    """A page with a noisy picture at (60, 60, 160, 160) and a caption below it."""
+    rgb = np.full((400, 300, 3), 255, np.uint8)
+    rgb[60:160, 60:160] = np.random.default_rng(3).integers(0, 200, (100, 100, 1))
+    folder.mkdir()
+    (folder / "one.png").write_bytes(sinks.png(rgb))
+    return rgb
+
+
+def test_extract_commands(spark, tmp_path):
+    rgb = scene(spark, tmp_path / "in")
+    (tmp_path / "ocr.json").write_text(json.dumps({"page_id": "one", "tokens": [{"text": "hello world", "confidence": 0.9, "bbox_xyxy": [60, 175, 160, 200]}]}))
+    base = ["--input", str(tmp_path / "in"), "--workspace", str(tmp_path / "ws"), "--tokens", str(tmp_path / "ocr.json")]
+    assert cli.main(["extract", *base, "--export", str(tmp_path / "deck.apkg")]) == 0
+    job = next((tmp_path / "ws/output").iterdir())
+    told = json.loads((job / "job_summary.json").read_text())
+    pair = told["pages"][0]["pairs"][0]
+    assert told["total_pairs"] == 1 and pair["caption_text"] == "hello world" and pair["picture_path"] == "one/pair_001/image.png"
+    meta = json.loads((job / "one/pair_001/meta.json").read_text())
+    assert meta["pair_id"] == pair["pair_id"] and meta["text_bbox"] == [60, 175, 160, 200]
+    x0, y0, x1, y1 = meta["picture_bbox"]
+    shown = extract.decoded(spark, str(job / "one/pair_001")).filter("page_id = 'image'").first().image
+    assert (pixels.rgb(shown.data, shown.height, shown.width, shown.nChannels) == rgb[y0:y1, x0:x1]).all()
+    assert json.loads((job / "one/summary.json").read_text())["image_size"] == [300, 400]
+    notes = sources.read_apkg(spark, str(tmp_path / "deck.apkg")).collect()
+    assert len(notes) == 1 and zipfile.ZipFile(tmp_path / "deck.apkg").read("0") == (job / "one/pair_001/image.png").read_bytes()
+    # the second command draws, exports a table and keeps seven fields
+    assert cli.main(["extract-pairs", *base, "--debug-viz", "--export", str(tmp_path / "out.csv")]) == 0
+    other = next(x for x in (tmp_path / "ws/output").iterdir() if x != job)
+    assert (other / "debug_viz/one_pairs.png").stat().st_size and len(spark.read.json(str(other / "result")).columns) == 7
+    assert len(spark.read.json(str(other / "result")).first()) == 7
+    assert cli.main(["extract", *base, "--max-area-ratio", "0.01"]) == 0  # the picture is too large then
+    assert json.loads((job / "job_summary.json").read_text())["total_pairs"] == 0
+    assert cli.main(["extract", "--input", str(tmp_path / "none.txt"), "--workspace", str(tmp_path)]) == 1
+
+
+def test_pages_are_shown_with_their_pictures(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/image.png").write_bytes(b"picture")
+    pairs = spark.createDataFrame([("p", "a/image.png"), ("q", "../x.png"), ("r", "a/none.png")], "pair_id string, picture_path string")
+    got = {r.pair_id: r.image for r in sinks.with_images(spark, pairs, str(tmp_path)).collect()}
+    assert got == {"p": "data:image/png;base64,cGljdHVyZQ==", "q": "", "r": ""}
+
+
+def test_files_stay_in_their_folder(spark, tmp_path):
+    files = lambda path: spark.createDataFrame([(path, b"x")], "path string, content binary")
+    assert pairfiles.write_files(files("a/b.txt"), str(tmp_path)) == 1 and (tmp_path / "a/b.txt").read_bytes() == b"x"
+    with pytest.raises(Exception, match="unsafe path"):
+        pairfiles.write_files(files("../b.txt"), str(tmp_path))
+    assert pairfiles.write_files(files("x").limit(0), str(tmp_path)) == 0
+
+
+def test_drawing():
+    page = np.zeros((40, 60, 3), np.uint8)
+    line = kernels.draw_line(page, (5, 5), (25, 15), (0, 255, 0), 1)
+    assert line[5, 5, 1] and line[15, 25, 1] and (line[..., 1] > 0).sum() == 21
+    label = kernels.draw_label(page, (-5, 38), "P#1 ?", (9, 9, 9), 2)
+    assert label[30, 0, 0] == 9 and (label[:30] == 0).all() and kernels.draw_label(page, (0, 0), "#" * 40, (9, 9, 9)).shape == page.shape
+    assert kernels.crop(page, (55, 35, 90, 90)).shape == (5, 5, 3) and kernels.crop(page, (70, 50, 80, 60)).shape == (1, 1, 3)
+
+
+def test_panels_are_drawn(spark, tmp_path):
+    scene(spark, tmp_path / "in")
+    panels = spark.createDataFrame([("one", 1, box(20, 20, 200, 200), True, False), ("one", 2, None, True, True)], "page_id string, block_index int, box struct<x0:int,y0:int,x1:int,y1:int>, needs_review boolean, is_blank boolean")
+    made = pairfiles.panel_pages(extract.decoded(spark, str(tmp_path / "in")), panels).collect()
+    assert [r.path for r in made] == ["one_panels.png"] and made[0].content.startswith(b"\x89PNG")
+
+
+def test_second_reading_is_cleaned_up(spark, tmp_path):
+    rgb = scene(spark, tmp_path / "in")
+
+    class Engine:
+        seen = 0
+
+        def tokens(self, content):
+            self.seen += 1
+            if self.seen == 1:
+                return []
+            return [("gray" if content == sinks.png(enhance.prepared(pixels.luma(rgb))) else "other", 0.9, (0, 0, 5, 5))]
+
+    got = plugins.run_ocr(extract.decoded(spark, str(tmp_path / "in")), Engine).collect()
+    assert [(r.page_id, r.text, r.error) for r in got] == [("one", "gray", None)]
+
+
+def test_noise_filter_against_brute_force():
+    g = np.random.default_rng(1).integers(0, 256, (9, 11)).astype(np.float32)
+    got = enhance.denoised(g, 60, 3, 5, band=4)
+    p = np.pad(g.astype(float), 3, mode="reflect")
+    for y in range(9):
+        for x in range(11):
+            own, total, weights = p[y + 2 : y + 5, x + 2 : x + 5], 0.0, 0.0
+            for dy in range(-2, 3):
+                for dx in range(-2, 3):
+                    other = p[y + 2 + dy : y + 5 + dy, x + 2 + dx : x + 5 + dx]
+                    w = np.exp(-((own - other) ** 2).mean() / 60**2)
+                    total, weights = total + w * other[1, 1], weights + w
+            assert abs(got[y, x] - total / weights) <= 0.5 + 1e-6
+    flat = np.full((12, 12), 7.0)
+    assert (enhance.adaptive(flat) == 255).all() and enhance.prepared(np.zeros((0, 4))).size == 0 and enhance.prepared(np.zeros((3, 3))).shape == (3, 3)
+
+
+def test_segments(spark, tmp_path):
+    rgb = scene(spark, tmp_path / "in")
+
+    class Engine:
+        def masks(self, page, at):
+            small, large = np.zeros(page.shape[:2], bool), np.zeros(page.shape[:2], bool)
+            small[0:3, 0:3] = True
+            large[60:160, 60:160] = True
+            large[100:102, 100:102] = False  # a gap is closed
+            return [small, large]
+
+    class Fails:
+        def masks(self, page, at):
+            raise RuntimeError("no model")
+
+    how, crop = plugins.segment(rgb, (50, 50, 170, 170), Engine(), "model")
+    assert how == "model" and crop.shape == (110, 110, 4) and (crop[5:105, 5:105, 3] == 255).sum() >= 100 * 100 - 4
+    how, crop = plugins.segment(rgb, (50, 50, 170, 170), Fails())
+    assert how == "bbox_fallback_enhanced" and crop.shape == (130, 130, 3)
+    words = extract.decoded(spark, str(tmp_path / "in")).withColumn("box", F.expr("named_struct('x0', 50, 'y0', 50, 'x1', 170, 'y1', 170)"))
+    both = words.unionByName(words.withColumn("page_id", F.lit("two")).withColumn("box", F.lit(None).cast(words.schema["box"].dataType)))
+    got = {r.page_id: (r.segment_status, r.segment_method) for r in plugins.run_segmenter(both, Engine, "model").collect()}
+    assert got == {"one": ("success", "model"), "two": ("failed", "model")}
+    assert (enhance.sharpened(np.full((5, 5, 3), 90, np.uint8)) == 90).all()
