@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import extract, jobfiles, pairfiles, plugins, sinks, sources
-from .operators import jobs, matching, pages, review
+from .operators import checks, jobs, matching, pages, review, summaries
 from .sources import scan
 
 
@@ -96,6 +96,35 @@ def quick(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def validate(spark: SparkSession, a: argparse.Namespace, cards: DataFrame) -> int:
+    """Counts of what a job breaks, then its messages by category; ``--files`` also asks for the
+    contract's files and the cards' images, ``--apkg`` checks a package."""
+    queue = spark.read.schema(f"{sources.QUEUE}, source_ref string").json(f"{a.job_dir}/review_queue")
+    metrics = spark.read.schema("finished boolean, completed_at string, pages_processed int, pages_total int").json(f"{a.job_dir}/metrics")
+    named = lambda df, file, rule="rule": df.select(F.concat(F.lit(f"{file}: "), F.col(rule)).alias("message"))
+    bad_cards, bad_queue = review.card_violations(cards), jobs.review_violations(queue)
+    found = {
+        "invalid_cards": named(bad_cards, "result"),
+        "invalid_review_items": named(bad_queue, "review_queue"),
+        "invalid_metrics": named(jobs.metrics_violations(metrics.withColumn("pages_processed", F.coalesce("pages_processed", "pages_total"))), "metrics"),
+    }
+    if a.files:
+        held = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(a.job_dir)
+        files = held.select(F.get(F.split("path", f"\\Q{os.path.abspath(a.job_dir)}/\\E", 2), F.lit(1)).alias("path"))
+        present = jobfiles.present_files(spark, {"job": a.job_dir}).select("job_id", F.when(F.col("name").contains("."), F.col("name")).when(F.col("name") == "errors", "errors.jsonl").otherwise(F.concat("name", F.lit(".json"))).alias("name"))
+        found["missing_contract_files"] = named(summaries.missing_files(present, spark.createDataFrame([("job",)], "job_id string")), "missing", "name")
+        found["missing_images"] = summaries.missing_images(cards, files).select(F.concat_ws(" ", F.when(F.col("problem") == "missing", "missing card image:").otherwise("unsafe card front_image_path:"), "path").alias("message"))
+    if a.apkg:
+        found["apkg"] = checks.package_errors(sources.read_apkg(spark, a.apkg)).select("message")
+    for name, rows in found.items():
+        print(f"{name}={rows.count()}")
+    buckets = jobs.error_buckets(summaries.errors_of(*found.values())).collect()
+    for r in buckets:
+        print(r.asDict())
+    print("ERRORS" if buckets else "OK")
+    return int(bool(buckets))
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="pageflow")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -106,11 +135,15 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--height", type=int, required=True)
     p.add_argument("--source", default="pages")
     p.add_argument("--min-confidence", type=float, default=0.7)
+    p.add_argument("--images")
     for name, extra in (("validate", ()), ("export", ("--format", "--out")), ("apply-review", ("--feedback", "--out")), ("review-ui", ("--out",)), ("learning-stats", ("--feedback",))):
         p = commands.add_parser(name)
         p.add_argument("--job-dir", required=True)
         for x in extra:
             p.add_argument(x, required=True)
+        if name == "validate":
+            p.add_argument("--apkg")
+            p.add_argument("--files", action="store_true")
     for name, extra in (("apply-pair-feedback", ("--feedback",)), ("build-flashcards", ()), ("generate-review-html", ())):
         p = commands.add_parser(name)
         for x in ("--pairs", "--out", *extra):
@@ -133,6 +166,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "run":
         sinks.write_job(*job(spark, a.tokens, a.width, a.height, a.source, a.min_confidence), a.job_dir)
+        sinks.write_errors(spark.createDataFrame([], "page_id string, stage string, message string"), f"{a.job_dir}/errors")
+        if a.images:
+            pairfiles.write_files(pairfiles.card_crops(extract.decoded(spark, a.images), _cards(spark, a.job_dir)), a.job_dir)
         return 0
     if a.command in ("extract", "extract-pairs"):
         try:
@@ -153,10 +189,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     cards = _cards(spark, a.job_dir)
     if a.command == "validate":
-        broken = review.card_violations(cards).groupBy("rule").count().orderBy("rule").collect()
-        for r in broken:
-            print(f"{r['rule']}: {r['count']}")
-        return int(bool(broken))
+        return validate(spark, a, cards)
     if a.command == "export":
         n = sinks.export_csv(cards, a.out) if a.format == "csv" else sinks.export_apkg(cards, a.out, "pageflow")
         print(n)

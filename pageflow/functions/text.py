@@ -80,9 +80,10 @@ def note_back(word: Column) -> Column:
 
 
 def media_refs(fields: Column) -> Column:
-    """Base names of images and sounds that a note refers to."""
-    found = F.concat(F.regexp_extract_all(fields, F.lit(r"<img[^>]*?src=[\"']([^\"']+)[\"']")), F.regexp_extract_all(fields, F.lit(r"\[sound:([^\]]+)\]")))
-    return F.transform(found, lambda x: F.element_at(F.split(x, "/"), -1))
+    """Base names of images and sounds that a note refers to, in any case, unescaped."""
+    found = F.concat(F.regexp_extract_all(fields, F.lit(r"(?i)<img[^>]+?src=[\"']([^\"']+)[\"']")), F.regexp_extract_all(fields, F.lit(r"(?i)\[sound:([^\]]+)\]")))
+    named = F.transform(found, lambda x: F.element_at(F.split(strip(html_unescape(x)), "/"), -1))
+    return F.filter(named, lambda x: x != "")
 
 
 def join_reasons(reasons: Column) -> Column:

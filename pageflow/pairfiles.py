@@ -79,6 +79,25 @@ def pair_files(images: DataFrame, pairs: DataFrame) -> DataFrame:
     return _each(by_page(images, pairs), make)
 
 
+def card_crops(images: DataFrame, cards: DataFrame) -> DataFrame:
+    """(page_id, path, content) of the crops of cards (page_id, box, front_image_path); a card
+    without a box shows its whole page.  A path of several cards is made once."""
+    item = F.struct("front_image_path", _listed("box").alias("box"))
+    asked = cards.filter(F.coalesce("front_image_path", F.lit("")) != "").dropDuplicates(["front_image_path"])
+    grouped = asked.groupBy("page_id").agg(F.collect_list(item).alias("pairs"))
+    rows = images.select("page_id", *(F.col(f"image.{c}").alias(c) for c in ("data", "height", "width", "nChannels"))).join(grouped, "page_id")
+
+    def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in found:
+            for r in batch.itertuples(index=False):
+                page = pixels.rgb(r.data, r.height, r.width, r.nChannels)
+                for p in r.pairs:
+                    crop = page if p["box"] is None else kernels.crop(page, p["box"])
+                    yield pd.DataFrame([(r.page_id, p["front_image_path"], sinks.png(crop))], columns=["page_id", "path", "content"])
+
+    return rows.mapInPandas(run, FILE)
+
+
 def drawings(images: DataFrame, pairs: DataFrame) -> DataFrame:
     """(page_id, path, content) of pages with their pairs drawn: numbered boxes of pictures and
     texts, and lines between their centres."""

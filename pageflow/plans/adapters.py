@@ -36,6 +36,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The query over a folder's tables: just those it names are read, and no view is left."""
     used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)]
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **{t: read(spark, sf_dir, t) for t in used})

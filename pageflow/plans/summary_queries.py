@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import extract
 from ..functions import geom, ids, text
-from ..operators import assembly, jobs, matching, pages, pixels, review, summaries
+from ..operators import assembly, checks, jobs, matching, pages, pixels, review, summaries
 from . import adapters as A
 from .queries import _BOXES, _CARDS, _CLEANED, _CROPS, _FB, _LAYOUT, _TOK, HEIGHT, WIDTH, _boxes, _cards, _cleaned, _crops, _layouts, query
 
@@ -350,3 +351,49 @@ def foreground_share(spark, sf):
 @query(f"{_PXW}, n AS (SELECT value, count(*) AS n FROM px GROUP BY value) SELECT value, n FROM n ORDER BY n DESC, value DESC LIMIT 5")
 def top_brightness(spark, sf):
     return pixels.top_values(A.pixels(spark, sf))
+
+
+#: Cards as they might have been written, some with wrong types or without a field.
+RAW = """SELECT CAST(doc_id AS BIGINT) AS idx, CASE WHEN doc_id % 31 = 0 THEN '[1]' ELSE concat('{"card_id":"', CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha1(CAST(doc_id AS VARCHAR(20))) END, '"',
+  ',"method":"', CASE WHEN doc_id % 11 = 0 THEN 'page_fallback' WHEN doc_id % 13 = 0 THEN 'other' ELSE 'bbox_crop' END, '"',
+  CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 3 = 0 THEN ',"token_index":"1"' WHEN doc_id % 8 = 1 THEN ',"token_index":true' ELSE concat(',"token_index":', CAST(doc_id AS VARCHAR(20))) END,
+  CASE WHEN doc_id % 4 = 0 THEN ',"bbox_xyxy":null' WHEN doc_id % 9 = 0 THEN ',"bbox_xyxy":[1,2,3]' WHEN doc_id % 10 = 1 THEN ',"bbox_xyxy":[1,2,3,4.5]' ELSE ',"bbox_xyxy":[1,2,3,4]' END,
+  CASE WHEN doc_id % 6 = 0 THEN ',"reasons":["SEGMENT_FAILED"]' ELSE ',"reasons":[]' END, ',"needs_review":', CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END,
+  ',"front_image_path":"', CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE 'a.png' END, '","page_id":"p","source_ref":"s","source_page_id":"p"}') END AS json FROM documents"""
+
+
+@query(f"""WITH r AS ({RAW}), v AS (SELECT idx, CAST(json AS JSON) AS j FROM r), o AS (SELECT * FROM v WHERE json_type(j) = 'OBJECT'),
+  b AS (SELECT *, json_extract_string(j, '$.method') IN ('page_fallback', 'bbox_fallback') AS fallback, json_extract_string(j, '$.needs_review') = 'true' AS reviewed, json_type(j, '$.bbox_xyxy') AS kind FROM o)
+  SELECT idx, 'not an object' AS problem FROM v WHERE json_type(j) <> 'OBJECT'
+  UNION ALL SELECT idx, 'missing field token_index' FROM o WHERE json_type(j, '$.token_index') IS NULL
+  UNION ALL SELECT idx, 'card_id' FROM o WHERE NOT regexp_full_match(json_extract_string(j, '$.card_id'), '[0-9a-fA-F]{{40}}')
+  UNION ALL SELECT idx, 'token_index' FROM o WHERE coalesce(json_type(j, '$.token_index'), '') NOT IN ('UBIGINT', 'BIGINT')
+  UNION ALL SELECT idx, 'front_image_path' FROM o WHERE trim(json_extract_string(j, '$.front_image_path')) = ''
+  UNION ALL SELECT idx, 'method' FROM o WHERE json_extract_string(j, '$.method') = 'other'
+  UNION ALL SELECT idx, 'fallback requires needs_review=true' FROM b WHERE fallback AND NOT reviewed
+  UNION ALL SELECT idx, 'SEGMENT_FAILED requires needs_review=true' FROM b WHERE json_array_length(j, '$.reasons') > 0 AND NOT reviewed
+  UNION ALL SELECT idx, 'bbox_xyxy' FROM b WHERE kind <> 'NULL' AND NOT (kind = 'ARRAY' AND json_array_length(j, '$.bbox_xyxy') = 4 AND json_type(j, '$.bbox_xyxy[3]') <> 'DOUBLE')""")
+def strict_cards(spark, sf):
+    return checks.strict_cards(A.table(spark, sf, RAW))
+
+
+@query(f"""WITH c AS ({A.CARDS}), m AS (SELECT DISTINCT card_id, doc_id FROM c)
+  SELECT card_id AS path, 'apkg_missing_media_mapping: lost.png' AS message FROM m WHERE doc_id % 3 = 0
+  UNION ALL SELECT card_id, 'apkg_missing_media_blob: kept.png' FROM m WHERE doc_id % 3 <> 0 AND doc_id % 5 = 0
+  UNION ALL SELECT card_id, 'apkg: bad' FROM m WHERE doc_id % 7 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0""")
+def package_errors(spark, sf):
+    d = F.col("doc_id")
+    bad = (d % 7 == 0) & (d % 3 != 0) & (d % 5 != 0)
+    fields = F.when(d % 3 == 0, F.lit('<img src="lost.png">')).otherwise(F.lit("<IMG class='x' src='img/kept.png'>"))
+    media = F.lit('{"0":"kept.png","1":"kept.png"}')
+    entries = F.when(d % 5 == 0, F.lit('["media","collection.anki2"]')).otherwise(F.lit('["media","collection.anki2","1"]'))
+    notes = A.cards(spark, sf).select(F.col("card_id").alias("path"), F.when(~bad, fields).alias("fields"), F.when(~bad, media).alias("media"), F.when(~bad, entries).alias("entries"), F.when(bad, "apkg: bad").alias("error"))
+    return checks.package_errors(notes)
+
+
+@query(f"""WITH c AS ({A.CARDS}) SELECT card_id, page_id, word, concat(page_id, '/pair_', lpad(CAST(token_index + 995 AS VARCHAR(9)), CAST(greatest(3, length(CAST(token_index + 995 AS VARCHAR(9)))) AS INT), '0'), '/image.png') AS front_image_path,
+  CAST(0.5 AS DOUBLE) AS confidence, needs_review, CASE WHEN needs_review THEN 'review' ELSE 'active' END AS status FROM c""")
+def quick_cards(spark, sf):
+    none = F.struct(*(F.lit(0).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    pairs = A.cards(spark, sf).select(F.col("card_id").alias("pair_id"), "page_id", (F.col("token_index") + 994).alias("order_index"), F.col("word").alias("caption_text"), none.alias("picture_box"), F.lit(0.5).alias("confidence"), "needs_review", "reasons")
+    return extract.quick_cards(pairs, short=True)

@@ -1,6 +1,10 @@
 import json
 
-from pageflow import cli, plugins
+import numpy as np
+from pyspark.sql import functions as F
+
+from pageflow import cli, plugins, sinks
+from pageflow.functions import text
 
 TOKENS = [{"text": w, "confidence": 0.95, "bbox_xyxy": b} for w, b in (("alpha", [10, 10, 80, 50]), ("beta", [90, 10, 170, 50]), ("gamma", [180, 10, 235, 50]))]
 
@@ -46,3 +50,25 @@ def test_feedback_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.n for r in spark.table("rates").collect()] == [3]
+
+
+def test_job_with_images_is_checked(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/page_001.png").write_bytes(sinks.png(np.full((120, 240, 3), 90, np.uint8)))
+    (tmp_path / "p.json").write_text(json.dumps({"page_id": "page_001", "raw_count": 3, "tokens": TOKENS}))
+    job = str(tmp_path / "job")
+    assert cli.main(["run", "--tokens", str(tmp_path / "p.json"), "--job-dir", job, "--width", "240", "--height", "120", "--images", str(tmp_path / "in")]) == 0
+    assert len(list((tmp_path / "job/pages/crops").glob("*.png"))) == 3
+    assert cli.main(["export", "--job-dir", job, "--format", "apkg", "--out", str(tmp_path / "d.apkg")]) in (0, None)
+    capsys.readouterr()
+    assert cli.main(["validate", "--job-dir", job, "--files"]) == 0 and "missing_images=0" in capsys.readouterr().out
+    next((tmp_path / "job/pages/crops").glob("*.png")).unlink()
+    (tmp_path / "bad.apkg").write_bytes(b"no archive")
+    assert cli.main(["validate", "--job-dir", job, "--files", "--apkg", str(tmp_path / "bad.apkg")]) == 1
+    said = capsys.readouterr().out
+    assert "missing_images=1" in said and "apkg=1" in said and "APKG" in said
+
+
+def test_media_references(spark):
+    rows = spark.createDataFrame([("<IMG src='a/b&amp;c.png'> [SOUND: x.mp3 ]<img src=\"  \">",)], "fields string")
+    assert rows.select(text.media_refs(F.col("fields")).alias("m")).first().m == ["b&c.png", "x.mp3"]
