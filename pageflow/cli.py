@@ -17,13 +17,13 @@ from .operators import checks, jobs, matching, pages, review, summaries
 from .sources import scan
 
 
-def job(spark: SparkSession, tokens_path: str, width: int, height: int, source: str, min_confidence: float = 0.7) -> tuple[DataFrame, DataFrame, DataFrame]:
+def job(spark: SparkSession, tokens_path: str, width: int, height: int, source: str, min_confidence: float = 0.7, config: jobfiles.Config | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cards, review queue, metrics) of stored OCR pages."""
     tokens = sources.read_token_pages(spark, tokens_path)
-    clean = pages.clean_tokens(tokens)
+    clean = pages.clean_tokens(tokens, config.clean) if config else pages.clean_tokens(tokens)
     seen = tokens.select("page_id").distinct().withColumns({"width": F.lit(width), "height": F.lit(height)})
     kinds = pages.layouts(seen, clean)
-    cropped = pages.crops(clean, width, height, pages.CropOptions(padding=10)).withColumn("token_index", F.col("rank").cast("int")).withColumn("source_ref", F.concat_ws("/", F.lit(source), "page_id"))
+    cropped = pages.crops(clean, width, height, config.crop if config else pages.CropOptions(padding=10)).withColumn("token_index", F.col("rank").cast("int")).withColumn("source_ref", F.concat_ws("/", F.lit(source), "page_id"))
     made = pages.cards(cropped, min_confidence).withColumn("front_image_path", F.concat(F.lit("pages/crops/"), "card_id", F.lit(".png")))
     return made, pages.review_rows(made), pages.page_metrics(kinds, made)
 
@@ -136,11 +136,16 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--source", default="pages")
     p.add_argument("--min-confidence", type=float, default=0.7)
     p.add_argument("--images")
+    p.add_argument("--config")
     for name, extra in (("validate", ()), ("export", ("--format", "--out")), ("apply-review", ("--feedback", "--out")), ("review-ui", ("--out",)), ("learning-stats", ("--feedback",))):
         p = commands.add_parser(name)
         p.add_argument("--job-dir", required=True)
         for x in extra:
             p.add_argument(x, required=True)
+        if name == "export":
+            p.add_argument("--include-review", action="store_true")
+            for x in ("--deck-name", "--tags"):
+                p.add_argument(x)
         if name == "validate":
             p.add_argument("--apkg")
             p.add_argument("--files", action="store_true")
@@ -150,6 +155,9 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument(x, required=True)
         if name == "generate-review-html":
             p.add_argument("--images")
+        if name == "build-flashcards":
+            p.add_argument("--source", default="")
+            p.add_argument("--sides", default="both", choices=("both", "forward", "reverse"))
     for name in ("extract", "extract-pairs"):
         p = commands.add_parser(name)
         p.add_argument("--input", required=True)
@@ -165,7 +173,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "run":
-        sinks.write_job(*job(spark, a.tokens, a.width, a.height, a.source, a.min_confidence), a.job_dir)
+        sinks.write_job(*job(spark, a.tokens, a.width, a.height, a.source, a.min_confidence, jobfiles.load_config(a.config) if a.config else None), a.job_dir)
         sinks.write_errors(spark.createDataFrame([], "page_id string, stage string, message string"), f"{a.job_dir}/errors")
         if a.images:
             pairfiles.write_files(pairfiles.card_crops(extract.decoded(spark, a.images), _cards(spark, a.job_dir)), a.job_dir)
@@ -180,10 +188,10 @@ def main(argv: list[str] | None = None) -> int:
         pairs = sources.read_pairs(spark, a.pairs)
         if a.command == "apply-pair-feedback":
             done = review.apply_pair_feedback(pairs.withColumnRenamed("caption_text", "caption"), sources.read_feedback(spark, a.feedback)).withColumnRenamed("caption", "caption_text")
-            sinks.write_pairs(done, a.out)
+            sinks.write_pairs(done.drop("older"), a.out)
         elif a.command == "build-flashcards":
             kept = pairs.filter(F.coalesce(F.col("status") != "rejected", F.lit(True)))
-            pages.reverse_cards(kept.withColumnRenamed("caption_text", "caption")).write.mode("overwrite").json(a.out)
+            pages.pair_cards(kept, a.source, jobfiles.now(), ("forward", "reverse") if a.sides == "both" else (a.sides,)).write.mode("overwrite").json(a.out)
         else:
             print(sinks.pair_review_page(sinks.with_images(spark, pairs, a.images), a.out))
         return 0
@@ -191,7 +199,10 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "validate":
         return validate(spark, a, cards)
     if a.command == "export":
-        n = sinks.export_csv(cards, a.out) if a.format == "csv" else sinks.export_apkg(cards, a.out, "pageflow")
+        if a.format == "csv":
+            n = sinks.export_csv(cards, a.out, a.include_review)
+        else:
+            n = sinks.export_apkg(cards, a.out, a.deck_name or sinks.deck_name(cards, os.path.basename(os.path.normpath(a.job_dir))), sinks.Folder(a.job_dir), a.tags)
         print(n)
     elif a.command == "apply-review":
         said = sources.read_feedback(spark, a.feedback)

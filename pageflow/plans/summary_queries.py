@@ -397,3 +397,17 @@ def quick_cards(spark, sf):
     none = F.struct(*(F.lit(0).alias(c) for c in ("x0", "y0", "x1", "y1")))
     pairs = A.cards(spark, sf).select(F.col("card_id").alias("pair_id"), "page_id", (F.col("token_index") + 994).alias("order_index"), F.col("word").alias("caption_text"), none.alias("picture_box"), F.lit(0.5).alias("confidence"), "needs_review", "reasons")
     return extract.quick_cards(pairs, short=True)
+
+
+@query(f"""WITH c AS ({A.CARDS}), p AS (SELECT card_id AS pair_id, page_id, token_index, method, needs_review AS flagged, status, doc_id % 3 = 0 AS older, CASE WHEN doc_id % 4 = 0 THEN '' ELSE word END AS word, front_image_path AS picture, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 't.png' END AS said FROM c),
+  k AS (SELECT *, flagged OR word = '' AS review FROM p WHERE NOT (older AND status = 'rejected')), s AS (SELECT *, 'forward' AS direction FROM k UNION ALL SELECT *, 'reverse' FROM k WHERE word <> '')
+  SELECT substr(sha1(concat_ws('|', pair_id, page_id, word, direction)), 1, 16) AS card_id, pair_id, page_id, page_id AS source_page_id, token_index, direction, CASE direction WHEN 'forward' THEN 'pair' ELSE 'pair_reverse' END AS layout_type, word,
+    CASE direction WHEN 'forward' THEN '' ELSE word END AS front_text, CASE direction WHEN 'forward' THEN word ELSE '' END AS back_text, CASE direction WHEN 'forward' THEN 'pair_sam' ELSE 'pair_sam_reverse' END AS method,
+    CASE direction WHEN 'forward' THEN picture ELSE said END AS front_image_path, CASE direction WHEN 'forward' THEN nullif(said, '') ELSE picture END AS back_image_path, concat('book#', page_id) AS source_ref, CAST(0.5 AS DOUBLE) AS confidence,
+    review AS needs_review, CASE WHEN review THEN 'review' ELSE 'active' END AS status, concat(CASE WHEN flagged THEN 'LOW|' ELSE '' END, CASE WHEN word = '' AND NOT older THEN 'NO_TEXT|' ELSE '' END) AS reasons FROM s""")
+def pair_cards(spark, sf):
+    d = F.col("doc_id")
+    pairs = A.cards(spark, sf).select(F.col("card_id").alias("pair_id"), "page_id", F.col("token_index").alias("order_index"), F.lit(None).cast("array<int>").alias("picture_bbox"), F.when(d % 4 == 0, " ").otherwise(F.col("word")).alias("caption_text"), "needs_review", "status", (d % 3 == 0).alias("older"),
+        F.when(F.col("needs_review"), F.array(F.lit("LOW"))).alias("reasons"), F.lit(0.5).alias("confidence"), F.col("front_image_path").alias("picture_path"), F.when(d % 5 == 0, "").otherwise("t.png").alias("text_path"))
+    made = pages.pair_cards(pairs, "book", sides=("forward", "reverse"))
+    return made.withColumn("reasons", F.array_join(F.transform("reasons", lambda r: F.concat(r, F.lit("|"))), "")).drop("bbox_xyxy", "created_at", "updated_at")

@@ -47,7 +47,14 @@ def write_job(cards: DataFrame, queue: DataFrame, metrics: DataFrame, folder: st
     metrics.withColumn("finished", F.lit(True)).withColumn("completed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).write.mode("overwrite").json(f"{folder}/metrics")
 
 
-def export_apkg(cards: DataFrame, path: str, deck: str, images: dict[str, bytes] | Folder | None = None) -> int:
+def deck_name(cards: DataFrame, other: str) -> str:
+    """The first source in export order, or another name where there is none."""
+    place = F.struct(F.coalesce("page_id", F.lit("")), F.coalesce("token_index", F.lit(0)), "card_id")
+    said = text.strip(F.coalesce("source_ref", F.lit("")))
+    return cards.filter(said != "").agg(F.min_by(said, place).alias("s")).first().s or other
+
+
+def export_apkg(cards: DataFrame, path: str, deck: str, images: dict[str, bytes] | Folder | None = None, tags: str | None = None) -> int:
     """Writes one package of the active cards (a deck is a file for one person: its
     rows stream through the driver in order)."""
     rows = cards.filter((F.col("status") == "active") & (F.coalesce("front_image_path", F.lit("")) != ""))
@@ -55,6 +62,8 @@ def export_apkg(cards: DataFrame, path: str, deck: str, images: dict[str, bytes]
         raise ValueError(f"unsafe paths: {bad}")
     ordered = rows.select("card_id", "word", "front_image_path", text.note_front(F.element_at(F.split("front_image_path", "/"), -1)).alias("front"), text.note_back(F.col("word")).alias("back")).orderBy(F.coalesce("page_id", F.lit("")), F.coalesce("token_index", F.lit(0)), "card_id")
     media: dict[str, str] = {}
+    named = [t.strip().replace(" ", "_") for t in (tags or "").split(",") if t.strip()]
+    marks = f" {' '.join(named)} " if named else ""
     n = 0
     with tempfile.TemporaryDirectory() as folder:
         db = sqlite3.connect(os.path.join(folder, "collection.anki2"))
@@ -70,7 +79,7 @@ def export_apkg(cards: DataFrame, path: str, deck: str, images: dict[str, bytes]
             name = base if media.setdefault(base, row.front_image_path) == row.front_image_path else f"{row.card_id}_{base}"
             media[name] = row.front_image_path
             front = row.front.replace(html.escape(base), html.escape(name))
-            db.execute("INSERT INTO notes VALUES (?,?,?,0,-1,'',?,?,0,0,'')", (n, row.card_id, _MODEL, f"{front}\x1f{row.back}", row.word))
+            db.execute("INSERT INTO notes VALUES (?,?,?,0,-1,?,?,?,0,0,'')", (n, row.card_id, _MODEL, marks, f"{front}\x1f{row.back}", row.word))
             db.execute("INSERT INTO cards VALUES (?,?,1,0,0,-1,0,0,?,0,0,0,0,0,0,0,0,'')", (n, n, n))
         db.commit()
         db.close()

@@ -72,7 +72,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(f"schema_version string, pairs array<struct<{fields}>>, pages array<struct<page_id:string,pairs:array<struct<{fields}>>>>").option("multiLine", True).json(path)
     old = raw.filter(~F.coalesce(F.col("schema_version").startswith("2.0"), F.lit(False)) & F.col("pairs").isNotNull()).select(F.posexplode("pairs").alias("n", "p")).select("n", "p.*")
     new = raw.filter(F.col("schema_version").startswith("2.0")).select(F.explode("pages").alias("g")).select(F.col("g.page_id").alias("_page"), F.posexplode("g.pairs").alias("n", "p")).select("n", "_page", "p.*").withColumn("page_id", F.coalesce("page_id", "_page")).drop("_page")
-    both = old.unionByName(new)
+    both = old.withColumn("older", F.lit(True)).unionByName(new.withColumn("older", F.lit(False)))
     return both.withColumn("order_index", F.coalesce("order_index", "item_index", "n")).drop("n")
 
 

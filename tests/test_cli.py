@@ -1,4 +1,6 @@
 import json
+import sqlite3
+import zipfile
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -72,3 +74,14 @@ def test_job_with_images_is_checked(spark, tmp_path, capsys):
 def test_media_references(spark):
     rows = spark.createDataFrame([("<IMG src='a/b&amp;c.png'> [SOUND: x.mp3 ]<img src=\"  \">",)], "fields string")
     assert rows.select(text.media_refs(F.col("fields")).alias("m")).first().m == ["b&c.png", "x.mp3"]
+
+
+def test_package_has_tags_and_a_name(spark, tmp_path):
+    rows = [("b", "p2", 0, "two", "src 2", "active", "a.png"), ("a", "p1", 0, "one", " ", "active", "a.png"), ("c", "p3", 0, "no", "src 3", "review", "a.png")]
+    cards = spark.createDataFrame(rows, "card_id string, page_id string, token_index int, word string, source_ref string, status string, front_image_path string")
+    assert sinks.deck_name(cards, "job") == "src 2" and sinks.deck_name(cards.filter("card_id = 'a'"), "job") == "job"
+    assert sinks.export_apkg(cards, str(tmp_path / "d.apkg"), "deck", {"a.png": b"x"}, "school, year one,") == 2
+    with zipfile.ZipFile(tmp_path / "d.apkg") as z:
+        z.extract("collection.anki2", tmp_path)
+    with sqlite3.connect(tmp_path / "collection.anki2") as db:
+        assert db.execute("SELECT DISTINCT tags FROM notes").fetchall() == [(" school year_one ",)]
