@@ -2,9 +2,9 @@
 
 Documents are read as overlapping passages of 24 words.  Hashed terms weigh by
 inverse document frequency, counted over all documents.  A distributed randomised
-SVD of the TF-IDF passages (range finder, one power step, Rayleigh-Ritz) gives
-the latent space; its basis is fitted on a bounded, hash-chosen sample of
-documents (``SAMPLE``), but every passage of every document is projected.  Pieces
+SVD of the TF-IDF passages (their products with random groups of terms, counted
+exactly in one pass over all documents, and a Nystroem step) gives the latent
+space, and every passage of every document is projected.  Pieces
 of benchmark items whose cosine with a passage reaches ``COSINE`` make a
 candidate of that place, if their cosine over all terms reaches ``FULL``, which
 rids short passages of chance neighbours.  It counts as a leak if the longest common subsequence
@@ -14,7 +14,7 @@ with the item's answer (its last sentence, or an answer column).
 Every passage goes through the latent search.  Beside it, a place is a candidate if
 it holds as many of an item's rarest words as any text with ``PARAPHRASE`` of the item
 must.  That misses no place that the subsequence would accept, so what is found depends
-neither on the sample, nor on an item's length; ``latent`` says which of them the
+neither on the fitted space, nor on an item's length; ``latent`` says which of them the
 latent search proposed itself.
 
 Items are the stated query set, matched in blocks of ``ITEMS`` and ``ITEM_WORDS`` words.  Defined results:
@@ -36,19 +36,20 @@ from pyspark.sql import functions as F
 from . import _shared as S
 from .quality_rules import keep_where
 
-#: Hash places of terms, latent dimensions, and columns beyond them while fitting.
-TERMS, RANK, OVER = 1 << 13, 96, 8
+#: Hash places of terms, latent dimensions, and groups of terms that the space is fitted by.
+TERMS, RANK, GROUPS = 1 << 13, 96, 256
 #: Words of half a passage; passages are two halves, each half in two of them.
 HALF = 12
-SAMPLE = 20_000
+#: Documents that the latent space is fitted on: None, all.
+SAMPLE: int | None = None
 COSINE, FULL, VERBATIM, PARAPHRASE, ANSWER = 0.5, 0.4, 0.8, 0.6, 0.6
 LEAST = 8
 #: Items and words of the items matched at once: a Searcher's memory is some 100 bytes a word.
 ITEMS, ITEM_WORDS = 2000, 1 << 18
 #: Share of an item's words, the rarest, that the exact path counts; hash places of words there.
 RAREST, FINE = 0.5, 1 << 20
-#: Terms worked on at once, and tasks that the sample is fitted in.
-CHUNK, FIT_TASKS = 1 << 16, 16
+#: Terms worked on at once.
+CHUNK = 1 << 16
 #: A-Z lower-cased; marks that end or enclose words part them, as white space does.
 _PARTS = b".,;:!?\"'()[]"
 _TABLE = bytes(32 if c in _PARTS or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -98,98 +99,56 @@ def norm_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_TABLE).split()
 
 
-def _frequencies(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that each term is in, summed over a task; place -1 counts documents."""
-    terms, seen, total = Terms(), np.zeros(TERMS, np.int64), 0
+def _together(found: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """A task's counts: pairs of (term place, group of terms) within a passage, documents that a term is in, documents."""
+    terms, width = Terms(), 2 * HALF
+    pairs, seen, total = np.zeros((TERMS + 1) * (GROUPS + 1), np.int64), np.zeros(TERMS, np.int64), 0
+    group = np.append(np.arange(TERMS) % GROUPS, GROUPS)  # what pads a text's last passage is term TERMS of group GROUPS
+
+    def add(held: list[np.ndarray]) -> None:
+        ids = np.concatenate(held).astype(np.int64).reshape(-1, width)
+        for at in range(0, len(ids), CHUNK // width):
+            part = ids[at : at + CHUNK // width]
+            pairs[:] += np.bincount((part[:, :, None] * (GROUPS + 1) + group[part][:, None, :]).ravel(), minlength=len(pairs))
+
+    held, n = [], 0
     for (text,) in S.rows_of(found):
         ids = terms.of(text)
         if len(ids):
             seen += np.bincount(ids, minlength=TERMS) > 0
             total += 1
-    schema = pa.schema([("place", pa.int32()), ("n", pa.int64())])
-    used = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([total, *seen[used].tolist()], pa.int64())], schema=schema)
-
-
-def inverse_frequency(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Weight of each term place, from all documents: log((1 + N) / (1 + n))."""
-    rows = S.columns(docs, **{text: "string"}).mapInArrow(_frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
-    total, n = 0, np.zeros(TERMS)
-    for row in rows:  # TERMS rows at most
-        if row.place < 0:
-            total = row.n
-        else:
-            n[row.place] = row.n
-    return np.log((1 + total) / (1 + n)).astype(np.float32)
-
-
-def _gram(weight: np.ndarray, basis: np.ndarray):
-    """A task's part of A' A basis, in blocks of rows."""
-    schema = pa.schema([("block", pa.int32()), ("part", pa.binary())])
-    rows_each = 256
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, out = Terms(), np.zeros((TERMS, basis.shape[1]), np.float32)
-        weighed = basis * weight[:, None]
-
-        def add(held: list[np.ndarray]):
-            ids = np.concatenate(held)
-            starts = np.concatenate([np.arange(0, len(h), 2 * HALF) + o for h, o in zip(held, np.cumsum([0, *map(len, held)]))])
-            latent = np.add.reduceat(weighed[ids], starts, axis=0)
-            passage = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
-            order = np.argsort(ids, kind="stable")
-            places, first = np.unique(ids[order], return_index=True)
-            out[places] += np.add.reduceat(latent[passage[order]], first, axis=0) * weight[places, None]
-
-        held, n = [], 0
-        for (text,) in S.rows_of(found):
-            ids = terms.of(text)
-            for at in range(0, len(ids), CHUNK):
-                held.append(ids[at : at + CHUNK])
-                n += len(held[-1])
-                if n >= CHUNK // 2:
-                    add(held)
-                    held, n = [], 0
-        if held:
-            add(held)
-        yield from S.batches(((b, out[b * rows_each : (b + 1) * rows_each].tobytes()) for b in range(TERMS // rows_each)), schema)
-
-    return run
-
-
-def _sum_blocks(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema, sums = pa.schema([("block", pa.int32()), ("part", pa.binary())]), {}
-    for block, part in S.rows_of(found):
-        x = np.frombuffer(part, np.float32)
-        sums[block] = sums[block] + x if block in sums else x.astype(np.float64)
-    yield from S.batches(((b, x.astype(np.float32).tobytes()) for b, x in sums.items()), schema)
-
-
-def fit_basis(sample: DataFrame, weight: np.ndarray, seed: int = 5) -> np.ndarray:
-    """V / sigma: the map (TERMS x RANK) that folds passages into the latent space.
+            held.append(np.append(ids, np.full(-len(ids) % width, TERMS, ids.dtype)))
+            n += len(held[-1])
+            if n >= CHUNK:
+                add(held)
+                held, n = [], 0
+    if held:
+        add(held)
+    return np.concatenate([pairs.reshape(TERMS + 1, GROUPS + 1)[:TERMS, :GROUPS].ravel(), seen, [total]])
 
-    Tasks hold TERMS x columns numbers and so does the driver: none grows."""
-    columns = RANK + OVER
-    random = np.random.default_rng(seed).standard_normal((TERMS, columns)).astype(np.float32)
 
-    def gram(basis: np.ndarray) -> np.ndarray:
-        parts = sample.mapInArrow(_gram(weight, basis.astype(np.float32)), "block int, part binary").repartition(FIT_TASKS, "block").mapInArrow(_sum_blocks, "block int, part binary").collect()
-        out = np.zeros((TERMS, columns))
-        for row in parts:
-            x = np.frombuffer(row.part, np.float32).reshape(-1, columns)
-            out[row.block * len(x) : (row.block + 1) * len(x)] = x
-        return out
+def count_terms(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray, int]:
+    """(counts of terms with groups of terms in a passage, documents that each term is in, documents with words) of all rows."""
+    counts = S.summed(S.columns(docs, **{text: "string"}), _together, TERMS * GROUPS + TERMS + 1)
+    return counts[: TERMS * GROUPS].reshape(TERMS, GROUPS), counts[TERMS * GROUPS : -1], int(counts[-1])
 
-    basis = np.linalg.qr(gram(random))[0]
-    image = gram(basis)
-    values, vectors = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
-    return folding(basis, values, vectors)
 
+def fit_basis(pairs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """V / sigma: the map (TERMS x RANK) that folds passages into the latent space.
 
-def folding(basis: np.ndarray, values: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Singular vectors over singular values, for the RANK largest of them."""
+    With N the term counts of all passages, S the groups' indicator and D the weights, ``pairs``
+    is N'N S: the weighted N'N is approximated by Y (S'N'N S)^-1 Y', Y = D N'N S (Nystroem), and its
+    leading vectors are taken exactly."""
+    core = pairs.reshape(TERMS // GROUPS, GROUPS, GROUPS).sum(0).astype(np.float64)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > 1e-12 * max(values.max(), 1e-300)
+    root = (weight[:, None].astype(np.float64) * pairs) @ (vectors[:, good] / np.sqrt(values[good]))
+    values, vectors = np.linalg.eigh(root.T @ root)
     order = np.argsort(-values)[:RANK]
-    return (basis @ vectors[:, order] / np.sqrt(np.maximum(values[order], 1e-6 * max(values.max(), 1e-300)))).astype(np.float32)
+    order = order[values[order] > 1e-9 * max(values.max(initial=0), 1e-300)]
+    out = np.zeros((TERMS, RANK), np.float32)
+    out[:, : len(order)] = root @ vectors[:, order] / np.maximum(values[order], 1e-6 * values.max(initial=0))
+    return out
 
 
 def passages(ids: np.ndarray, space: np.ndarray) -> np.ndarray:
@@ -423,21 +382,24 @@ class Searcher:
 _OUT = "doc_id long, item_id long, cosine double, share double, answer_found boolean, first_word long, latent boolean"
 
 
-def _prepared(docs: DataFrame, benchmark: DataFrame, sample: int) -> list:
-    """Broadcasts of what a Searcher needs, one a block of items; none without documents or items."""
+def _prepared(docs: DataFrame, benchmark: DataFrame, sample: int | None) -> list:
+    """Broadcasts of what a Searcher needs, one a block of items; none without words or items.
+
+    Frequencies and the latent space are of all rows, unless ``sample`` asks for about so many."""
     spark = docs.sparkSession
-    held = S.columns(docs, doc_id="long", text="string")
+    held = S.columns(docs, text="string")
     answers = {"answer": "string"} if "answer" in benchmark.columns else {}
     items = S.columns(benchmark, item_id="long", text="string", **answers)
-    n_docs, n_items = docs.count(), items.count()
-    if not n_items or not n_docs:
+    n_items = items.count()
+    if not n_items:
+        return []
+    pairs, n, total = count_terms(held)
+    if not total:
         return []
-    weight = inverse_frequency(docs)
-    share = min(1.0, sample / n_docs)
-    picked = held.filter(F.rand(3) < share).select("text")  # by row: an id or text of many rows is drawn as often; written at once
-    folder = S.scratch(spark, "latent")
-    basis = fit_basis(S.saved(picked.repartition(FIT_TASKS), folder), weight)
-    S.drop(spark, folder)
+    weight = np.log((1 + total) / (1 + n)).astype(np.float32)
+    if sample is not None:
+        pairs = count_terms(held.filter(F.rand(3) < min(1.0, sample / total)))[0]
+    basis = fit_basis(pairs, weight)
     n_words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks, out = max(-(-n_items // ITEMS), -(-n_words // ITEM_WORDS)), []
     for b in range(blocks):
@@ -446,7 +408,7 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, sample: int) -> list:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, cosine: float = COSINE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, sample: int | None = SAMPLE, cosine: float = COSINE) -> DataFrame:
     """A row for each document and benchmark item found in it."""
     held = S.columns(docs, doc_id="long", text="string")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("share", pa.float64()), ("answer_found", pa.bool_()), ("first_word", pa.int64()), ("latent", pa.bool_())])
@@ -462,7 +424,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, cosi
     return docs.sparkSession.createDataFrame([], _OUT) if out is None else out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, cosine: float = COSINE) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, sample: int | None = SAMPLE, cosine: float = COSINE) -> DataFrame:
     """Pipeline stage: the rows without a leak, with their own columns.
 
     Each row is judged by its own text in one pass, so null and repeated ids need

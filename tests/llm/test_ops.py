@@ -186,6 +186,21 @@ def test_op3(spark, sf, odd):
     assert {(r.doc_id, r.item_id) for r in Q["op3_decontamination"](spark, odd).collect()} == {(4, 2)}
 
 
+def test_the_latent_space_counts_every_passage_of_all_documents(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    pairs, n, total = decontaminate.count_terms(docs)
+    want, seen, terms = np.zeros_like(pairs), np.zeros_like(n), decontaminate.Terms()
+    texts = [r.text for r in docs.collect()]
+    for text in texts:
+        ids = terms.of(text)
+        seen[np.unique(ids)] += 1
+        for at in range(0, len(ids), 2 * decontaminate.HALF):
+            for a in ids[at : at + 2 * decontaminate.HALF]:
+                np.add.at(want[a], ids[at : at + 2 * decontaminate.HALF] % decontaminate.GROUPS, 1)
+    assert total == sum(bool(decontaminate.norm_words(t)) for t in texts)
+    assert (n == seen).all() and (pairs == want).all()
+
+
 def test_items_of_any_length_are_found(spark):
     rng = random.Random(11)
 
