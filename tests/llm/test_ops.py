@@ -102,6 +102,18 @@ def test_tokens_equal_library():
     assert e.encode(None).tolist() == e.encode("").tolist() == [] and e.encode(None, 3).tolist() == [3]
 
 
+def test_the_classifier_learns_from_every_labelled_row(spark):
+    rows = [(i, f"{'word ' * (i % 23 + 1)}{'$ #' * (i % 2)}", i % 2) for i in range(9000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    taught = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert len(taught) > 6000
+    m = quality_model.train(docs, labels)
+    stats = np.array([quality_model.features(r[1])[2] for r in taught], np.float64)
+    assert np.allclose(m.mean, stats.mean(0), atol=1e-5) and np.allclose(m.scale, stats.std(0), atol=1e-4)
+    assert all((m.score(text) >= 0.5) == bool(quality) for _, text, quality in rows[:46])
+
+
 def test_documents_of_one_id_stay_within_the_sample(spark):
     docs = spark.createDataFrame([(1, f"{GOOD} {i}") for i in range(300)] + [(3, "### $$$ | " * 30)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
