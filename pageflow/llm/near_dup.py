@@ -15,8 +15,8 @@ makes components.  In a bucket that still spans components, members whose
 distances to the pivot differ by more than a link's can't be linked (Jaccard
 distance is a metric): members are put in overlapping cells by distance, cells of
 one component are done with.  What is left meets by half-key, in blocks of bounded
-size, where all intersections are counted by one matrix product; pairs that reach the
-limit are confirmed.
+size, by the rarest differences to one of its members (see linked()), which loses no
+link; of the links there a spanning forest is told and confirmed.
 Components come from alternating large and small stars.  All is joins and
 aggregates over ids, cut by written tables; a hot key is split by the optimiser.
 
@@ -42,7 +42,9 @@ WIDTH, PERCENT = 2, 80
 #: Half-keys of a collection, and minhashes of a half-key.
 HALF, ROWS = 12, 3
 #: Members of a block, and shingles of a block (on average of its group's blocks).
-GROUP, BLOCK_SHINGLES = 1024, 1 << 21
+GROUP, BLOCK_SHINGLES = 1 << 14, 1 << 20
+#: Sets that are multiplied at most, and pairs (or shingles of them) looked at in one go.
+FEW, MET = 128, 1 << 20
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -216,52 +218,165 @@ def across(members: DataFrame, measured: DataFrame, linker: Linker, percent: int
     return cells.join(mixed.hint("merge"), ["key", "cell"], "left_semi").select("node", "label").distinct()
 
 
-def _block_pairs(half: int, percent: int):
-    """Groups of one half-key, at most two blocks of members -> pairs that may be links.
-
-    Shingles are 32-bit hashes here, whose chance meetings only add pairs.  A pair is
-    told in the group of the first half-key that it shares, if it shares one of the
-    other collection too: so once, and only if some table has it."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def pairs(members: list[tuple], i: int) -> Iterator[tuple[int, int]]:
-        node, label = (np.array([m[k] for m in members], np.int64) for k in (0, 1))
-        side = np.array([m[2] for m in members])
-        keys = np.stack([np.frombuffer(m[3], np.uint32) for m in members])
-        sets = [np.frombuffer(m[4], np.uint32) for m in members]
-        size = np.array([len(x) for x in sets])
-        owner = np.repeat(np.arange(len(sets)), size)
-        values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+class _Groups:
+    """Groups of members, put together by links; tells those links that do (a spanning forest)."""
+
+    def __init__(self, label: np.ndarray):
+        _, self.of = np.unique(label, return_inverse=True)
+        self.above = list(range(int(self.of.max()) + 1))
+
+    def root(self, g: int) -> int:
+        while self.above[g] != g:
+            self.above[g] = g = self.above[self.above[g]]
+        return g
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links of members a and b -> those between groups that were apart."""
+        _, one = np.unique(self.of[a] * len(self.above) + self.of[b], return_index=True)
+        for u, v in zip(a[one].tolist(), b[one].tolist()):
+            x, y = self.root(self.of[u]), self.root(self.of[v])
+            if x != y:
+                self.above[max(x, y)] = min(x, y)
+                yield u, v
+        self.of = np.fromiter(map(self.root, range(len(self.above))), np.int64, len(self.above))[self.of]
+
+
+def _met(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members that share an element, of two lists (elements, members), in parts of about ``MET``."""
+    order = np.argsort(right[0], kind="stable")
+    element, member = right[0][order], right[1][order]
+    low = np.searchsorted(element, left[0], "left")
+    many = np.searchsorted(element, left[0], "right") - low
+    some = np.flatnonzero(many)
+    low, many, own = low[some], many[some], left[1][some]
+    end = np.cumsum(many)
+    at = 0
+    while at < len(own):
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + MET, "right")))
+        n = many[at:to]
+        yield np.repeat(own[at:to], n), member[np.arange(n.sum()) + np.repeat(low[at:to] - np.cumsum(n) + n, n)]
+        at = to
+
+
+def linked(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between sets that put together all labels that links of these sets do.
+
+    ``side``: -1, or two blocks of which only links from one to the other are asked for.
+
+    Few sets are multiplied.  Of many, each is held as its difference D(x) to the set p of
+    what most of them have.  x and y are linked where the difference between x and y is at
+    most c(|x| + |y|), with c = (100 - percent) / (100 + percent).  Let e(x) = |D(x)| - c|x|.
+    Those with e(x) + e(y) <= 0 are linked whatever D(x) and D(y) are, and both to the member
+    of the least e, which gathers them (the core).  Other links share (e(x) + e(y)) / 2
+    differences to p at least.  So pairs meet by the rarest of their differences, as many as
+    that leaves open; of copies that each had a word changed, by the words that came in.
+    No link is lost."""
+    n, size, groups = len(sets), np.array([len(x) for x in sets]), _Groups(label)
+    owner = np.repeat(np.arange(n), size)
+    values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    if n <= FEW:
         often = np.flatnonzero(times > 1)  # a shingle of one member meets no other
         column = np.full(len(values), -1)
         column[often] = np.arange(len(often))
         place = column[place]
-        both = np.zeros((len(sets), len(sets)), np.float32)
+        both = np.zeros((n, n))
         for at in range(0, len(often), 4096):
             some = (place >= at) & (place < at + 4096)
-            cells = np.zeros((len(sets), min(4096, len(often) - at)), np.float32)
+            cells = np.zeros((n, min(4096, len(often) - at)), np.float32)
             cells[owner[some], place[some] - at] = 1
             both += cells @ cells.T
         either = size[:, None] + size[None, :] - both
-        # Members of a lone block (side -1), or one of either block, of different components.
-        x, y = np.nonzero(np.triu((100 * both >= (percent - 1) * either) & (label[:, None] != label[None, :]) & ((side[:, None] < 0) | (side[:, None] != side[None, :])), 1))
-        same = keys[x] == keys[y]
-        first = same[:, :half].argmax(1)
-        told = same[:, :half].any(1) & (first == i) & same[:, half:].any(1)
-        for u, v in zip(node[x[told]].tolist(), node[y[told]].tolist()):
-            yield min(u, v), max(u, v)
+        apart = (groups.of[:, None] != groups.of[None, :]) & ((side[:, None] < 0) | (side[:, None] != side[None, :]))
+        yield from groups.join(*np.nonzero(np.triu((100 * both >= percent * either) & apart, 1)))
+        return
+    in_p = times * 2 > n
+    number = np.cumsum(in_p) - 1
+    kept = in_p[place]
+    lacks = np.ones((n, int(in_p.sum())), bool)
+    lacks[owner[kept], number[place[kept]]] = False
+    lacking, what = np.nonzero(lacks)
+    who, element = np.concatenate([owner[~kept], lacking]), np.concatenate([place[~kept], np.flatnonzero(in_p)[what]])
+    # Differences, a member's rarest first: one sorted number for each.
+    seen = np.bincount(element, minlength=len(values))
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(seen, kind="stable")] = np.arange(len(values))
+    seen = np.sort(seen)
+    codes = np.sort(who * len(values) + rank[element])
+    del lacks, lacking, what, kept, owner, place, rank
+    who, element = codes // len(values), codes % len(values)
+    far = np.bincount(who, minlength=n)
+    start = np.cumsum(far) - far
+    up, down = 100 + percent, 100 - percent
+    e = up * far - down * size  # whole numbers: up times the e above
+    middle = int(e.argmin())
+    core = e + e[middle] <= 0
+    ends = np.flatnonzero(core & (groups.of != groups.of[middle]))
+    yield from groups.join(ends, np.full(len(ends), middle))
+    if core.all():
+        return
+    bits = np.zeros((n, 4), np.uint64)
+    mixed = _mix(element.astype(np.uint64))
+    np.bitwise_xor.at(bits, (who, (mixed & np.uint64(3)).astype(np.int64)), np.uint64(1) << (mixed >> np.uint64(58)))
+    at = np.arange(len(who)) - start[who]
+    again = seen[element] > 1
+
+    def rarest(which: np.ndarray, e_other: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Differences of some members that one of those shared with a member of that e, or more, is among."""
+        shared = np.maximum(1, -(-(e + e_other) // (2 * up)))
+        some = again & which[who] & (at <= (far - shared)[who])
+        return element[some], who[some]
+
+    rest = int(e[~core].min())
+    # The core meets the rest; of two of the rest, that of the lower e counts on the other's.
+    meetings = [(rarest(core, rest), rarest(~core, int(e[middle])))] if core.any() else []
+    meetings.append((rarest(~core, e), rarest(~core, rest)))
+    for one, other in meetings:
+        for x, y in _met(one, other):
+            ok = (groups.of[x] != groups.of[y]) & (e[x] <= e[y])
+            if side[0] >= 0:
+                ok &= side[x] != side[y]
+            x, y = x[ok], y[ok]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1)  # at most the difference between x and y
+            ok = up * apart.astype(np.int64) <= down * (size[x] + size[y])
+            pair = np.unique(x[ok] * n + y[ok])
+            x, y = pair // n, pair % n
+            x, y = np.where(far[x] <= far[y], x, y), np.where(far[x] <= far[y], y, x)
+            end, i = np.cumsum(far[x]), 0
+            while i < len(x):
+                j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + MET, "right")))
+                u, v = x[i:j], y[i:j]
+                m = far[u]
+                asked = np.repeat(v, m) * len(values) + element[np.arange(m.sum()) + np.repeat(start[u] - np.cumsum(m) + m, m)]
+                found = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
+                overlap = np.bincount(np.repeat(np.arange(j - i), m), codes[found] == asked, j - i).astype(np.int64)
+                ok = up * (far[u] + far[v] - 2 * overlap) <= down * (size[u] + size[v])
+                yield from groups.join(u[ok], v[ok])
+                i = j
+
+
+def _block_pairs(percent: int):
+    """Groups of one half-key, at most two blocks of members -> links that put components together.
+
+    Sets are of 64-bit hashes, as everywhere here but in what confirms links."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
+        node, label = (np.array([m[k] for m in members], np.int64) for k in (0, 1))
+        side = np.array([m[2] for m in members])
+        for i, j in linked([np.frombuffer(m[3], np.uint64) for m in members], label, side, percent):
+            yield int(min(node[i], node[j])), int(max(node[i], node[j]))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
             at, held = None, []
-            for key, low, high, i, *member in S.rows_of(found):
-                if (key, low, high, i) != at:
+            for key, low, high, *member in S.rows_of(found):
+                if (key, low, high) != at:
                     if len(held) > 1:
-                        yield from pairs(held, at[3])
-                    at, held = (key, low, high, i), []
+                        yield from pairs(held)
+                    at, held = (key, low, high), []
                 held.append(member)
             if len(held) > 1:
-                yield from pairs(held, at[3])
+                yield from pairs(held)
 
         yield from S.batches(each(), schema)
 
@@ -269,7 +384,7 @@ def _block_pairs(half: int, percent: int):
 
 
 def _sets(width: int, half: int, rows: int):
-    schema = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("short", pa.binary()), ("members", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("members", pa.binary())])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(width, half, rows)
@@ -277,8 +392,7 @@ def _sets(width: int, half: int, rows: int):
         def each():
             for node, text in S.rows_of(found):
                 x = signer.shingles(text)
-                keys = signer.half_keys(x)
-                yield node, keys[:half].tolist(), (keys & 0xFFFFFFFF).astype(np.uint32).tobytes(), np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes()
+                yield node, signer.half_keys(x)[:half].tolist(), x.tobytes()
 
         yield from S.batches(each(), schema)
 
@@ -286,24 +400,24 @@ def _sets(width: int, half: int, rows: int):
 
 
 def in_blocks(open_: DataFrame, texts: DataFrame, linker: Linker, half: int, rows: int) -> DataFrame:
-    """Pairs (u, v) of open members (node, label) that share a table and may be links.
+    """Links (u, v) of open members (node, label) that put together what shares a half-key.
 
     Members meet by the half-keys of one collection, in blocks of about ``GROUP`` members
     and ``BLOCK_SHINGLES`` shingles at most: a larger group's blocks are dealt out two by
     two.  Tasks hold two blocks."""
     named = open_.select(F.col("node").alias("_node"))
     own = texts.join(named.hint("merge"), texts.doc_id == named["_node"], "left_semi").select("doc_id", "text")
-    sets = linker.save(own.mapInArrow(_sets(linker.width, half, rows), "node long, keys array<long>, short binary, members binary"), "sets")
-    size = (F.octet_length("members") / 4).alias("n")
-    places = sets.select("node", "keys", size).join(open_.hint("merge"), "node").select("node", "label", "n", F.posexplode("keys").alias("i", "x")).select("node", "label", "n", "i", F.xxhash64("i", "x").alias("key"))
+    sets = linker.save(own.mapInArrow(_sets(linker.width, half, rows), "node long, keys array<long>, members binary"), "sets")
+    size = (F.octet_length("members") / 8).alias("n")
+    places = sets.select("node", "keys", size).join(open_.hint("merge"), "node").select("node", "label", "n", F.posexplode("keys").alias("i", "x")).select("node", "label", "n", F.xxhash64("i", "x").alias("key"))
     mixed = places.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("lo <> hi").select("key", F.ceil(F.greatest(F.col("size") / GROUP, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     held = places.drop("n").join(mixed.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     # A group of one block is a pair (0, 0) of side -1; else block b goes to all pairs (b, other).
     held = held.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    held = held.select("node", "label", "key", "i", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.when(F.col("block") < F.col("other"), 0).otherwise(1)).alias("side"))
+    held = held.select("node", "label", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.when(F.col("block") < F.col("other"), 0).otherwise(1)).alias("side"))
     n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = held.join(sets.select("node", "short", "members").hint("merge"), "node").repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high", "i", "node")
-    found = dealt.select("key", "low", "high", "i", "node", "label", "side", "short", "members").mapInArrow(_block_pairs(half, linker.percent), "u long, v long")
+    dealt = held.join(sets.select("node", "members").hint("merge"), "node").repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    found = dealt.select("key", "low", "high", "node", "label", "side", "members").mapInArrow(_block_pairs(linker.percent), "u long, v long")
     return found.distinct()
 
 

@@ -442,6 +442,48 @@ def test_near_copies_in_a_crowd(spark, monkeypatch):
     assert sorted(repr(tuple(r)) for r in got) == brute_components(rows, 2)
 
 
+@pytest.mark.parametrize("few", [3, 128])
+def test_links_of_many_sets(few, monkeypatch):
+    """By rarest differences or multiplied: the same groups as by brute force, and only links between them."""
+    monkeypatch.setattr(near_dup, "FEW", few)
+    rng = random.Random(4)
+    for trial in range(150):
+        monkeypatch.setattr(near_dup, "MET", rng.choice([1, 5, 1 << 20]))
+        n, percent = rng.randrange(4, 40), rng.choice([80, 80, 50, 90, 100])
+        bases = [[rng.randrange(10**6) for _ in range(rng.choice([3, 10, 40]))] for _ in range(rng.choice([1, 1, 3]))]
+        sets = []
+        for _ in range(n):
+            words = list(rng.choice(bases))
+            for _ in range(rng.randrange(max(2, len(words) // 4))):
+                words[rng.randrange(len(words))] = rng.randrange(rng.choice([5, 10**6]))
+            sets.append(np.unique(np.array(words[: rng.choice([len(words), max(1, len(words) * 9 // 10)])], np.uint64)))
+        label, held = np.arange(n), [set(x.tolist()) for x in sets]
+        side = np.full(n, -1) if trial % 2 else np.array([rng.randrange(2) for _ in range(n)])
+
+        def groups(links):
+            above = list(range(n))
+            for a, b in links:
+                above = [min(above[a], above[b]) if x in (above[a], above[b]) else x for x in above]
+            return above
+
+        want = [(a, b) for a in range(n) for b in range(a) if (side[a] < 0 or side[a] != side[b]) and 100 * len(held[a] & held[b]) >= percent * len(held[a] | held[b])]
+        got = list(near_dup.linked(sets, label, side, percent))
+        assert all(100 * len(held[a] & held[b]) >= percent * len(held[a] | held[b]) for a, b in got) and len(got) < n
+        assert groups(got) == groups(got + want) and (side[0] >= 0 or groups(got) == groups(want))
+
+
+def test_a_crowd_of_links_gives_few_pairs(spark, tmp_path):
+    """200 texts that are all linked with each other: their pairs are 19,900."""
+    rows = [(i, i, " ".join([f"w{k}" for k in range(60)] + [f"x{i}"])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, label long, text string")
+    near_dup.S.small_batches(spark)
+    linker = near_dup.Linker(f"file://{tmp_path}", 2, 80)
+    pairs = near_dup.in_blocks(docs.select(F.col("doc_id").alias("node"), "label"), docs.select("doc_id", "text"), linker, near_dup.HALF, near_dup.ROWS)
+    assert pairs.count() < 200 * near_dup.HALF
+    linker.confirm(pairs, docs.select("doc_id", "text"))
+    assert {(r.node, r.label) for r in linker.labels.collect()} == {(i, 0) for i in range(1, 200)}
+
+
 def test_op7(spark, odd):
     by = defaultdict(list)
     for r in spark.read.parquet(f"{odd}/conversations.parquet").collect():
