@@ -274,8 +274,8 @@ def linked(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent:
     n, size, groups = len(sets), np.array([len(x) for x in sets]), _Groups(label)
     owner = np.repeat(np.arange(n), size)
     values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    if n <= FEW:
-        often = np.flatnonzero(times > 1)  # a shingle of one member meets no other
+    often = np.flatnonzero(times > 1)  # a shingle of one member meets no other
+    if n <= FEW or n <= 16 * FEW and n * n * len(often) <= 1 << 34:  # some seconds at most
         column = np.full(len(values), -1)
         column[often] = np.arange(len(often))
         place = column[place]
